@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import simhash, substrings, suffixes
 from .common import table
 
 
@@ -12,5 +12,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_simhash": op9_simhash}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeated_windows(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.drop_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {"op6_suffixes": op6_suffixes, "op10_substrings": op10_substrings, "op9_simhash": op9_simhash}
 ORACLE_SQL: dict[str, str] = {}
