@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substrings, suffixes
+from . import packing, simhash, substrings, suffixes
 from .common import table
 
 
@@ -20,5 +20,16 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.drop_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {"op6_suffixes": op6_suffixes, "op10_substrings": op10_substrings, "op9_simhash": op9_simhash}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a public vocabulary lies on this machine and, by the same installed package, on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+QUERIES = {"op5_packing": op5_packing, "op6_suffixes": op6_suffixes, "op10_substrings": op10_substrings, "op9_simhash": op9_simhash}
 ORACLE_SQL: dict[str, str] = {}
