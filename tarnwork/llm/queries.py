@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, substrings, suffixes
+from . import licenses, packing, simhash, substrings, suffixes
 from .common import table
 
 
@@ -31,5 +31,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-QUERIES = {"op5_packing": op5_packing, "op6_suffixes": op6_suffixes, "op10_substrings": op10_substrings, "op9_simhash": op9_simhash}
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_licenses": op3_licenses, "op5_packing": op5_packing, "op6_suffixes": op6_suffixes, "op10_substrings": op10_substrings, "op9_simhash": op9_simhash}
 ORACLE_SQL: dict[str, str] = {}
