@@ -89,7 +89,7 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = docs.join(common.text_classes(docs, id_col, text_col).distinct(), id_col)
     single = first.filter(F.col("first") == F.col(id_col)).select(id_col, text_col)
     spec = Texts(width, seed, words_of)
-    ranges = repeated_windows(single, id_col, text_col, spec, sorted_windows(width))
+    ranges = repeated_windows(docs, single, id_col, text_col, spec, sorted_windows(width))
     joined = first.join(ranges, id_col, "left").select(id_col, common.utf8(text_col).alias("_text"), (F.col("first") != F.col(id_col)).alias("copy"), "begins", "ends")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

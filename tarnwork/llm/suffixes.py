@@ -43,7 +43,7 @@ class Column:
 
     def write(self, values: np.ndarray) -> None:
         self.file = tempfile.TemporaryFile()
-        values.astype(self.kind).tofile(self.file)
+        values.astype(self.kind, copy=False).tofile(self.file)
         self.file.flush()
 
 
@@ -67,9 +67,10 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         return np.where(sizes[of] > back, data[np.maximum(ends[of] - 1 - back, 0)], 0).astype(small)
 
     where, who = np.arange(m), np.arange(m)  # the place and string of the suffixes that the last round inserted
-    bwt, prefixes, names = Column(symbol(who, 0)), Column(np.zeros(m, np.uint16)), Column(np.arange(m, dtype=np.int64) << 16)
-    for round_ in range(1, int(sizes.max(initial=0)) + 1):
-        b, lcp, name = bwt.read(), prefixes.read(), names.read()
+    longest = int(sizes.max(initial=0))
+    bwt, prefixes = Column(symbol(who, 0)), Column(np.zeros(m, np.uint8 if longest < 256 else np.uint32))
+    for round_ in range(1, longest + 1):
+        b, lcp = bwt.read(), prefixes.read()
         order = np.argsort(b, kind="stable")
         edges = np.concatenate([[0], np.cumsum(np.bincount(b, minlength=len(alphabet) + 1))])
         done = edges[1]  # strings that are in whole have no symbol left
@@ -97,12 +98,21 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         out[old], out[place] = lcp, own_prefix
         out[place[behind] + 1] = next_prefix
         prefixes.write(out)
-        out = np.empty(len(old), names.kind)
-        out[old], out[place] = name, who << 16 | round_
-        names.write(out)
         where = place
-    name = names.read()
-    return name >> 16, name & 0xFFFF, prefixes.read().astype(np.int64)
+    # the finished transform names the suffixes: each step back from a string's end adds one symbol
+    b = bwt.read()
+    order = np.argsort(b, kind="stable")
+    rank = np.empty(len(b), np.int64)
+    rank[order] = np.arange(len(b))
+    done = int((b == 0).sum())
+    string, length = np.empty(len(b), np.int64), np.empty(len(b), np.int64)
+    where = who = np.arange(m)
+    string[:m], length[:m] = who, 0
+    for n in range(1, longest + 1):
+        more = sizes[who] >= n
+        where, who = m + rank[where[more]] - done, who[more]
+        string[where], length[where] = who, n
+    return string, length, prefixes.read().astype(np.int64)
 
 
 def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -156,7 +166,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     first = docs.join(common.text_classes(docs, id_col, text_col).distinct(), id_col)
     single = first.filter(F.col("first") == F.col(id_col)).select(id_col, text_col)
-    ranges = repeated_windows(single, id_col, text_col, Texts(width, seed, bytes_of), common_windows(width))
+    ranges = repeated_windows(docs, single, id_col, text_col, Texts(width, seed, bytes_of), common_windows(width))
     joined = first.join(ranges, id_col, "left").select(id_col, common.utf8(text_col).alias("_text"), (F.col("first") != F.col(id_col)).alias("copy"), "begins", "ends")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

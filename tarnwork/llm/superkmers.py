@@ -115,14 +115,15 @@ def pieces(texts: list[bytes], spec: Texts) -> Iterator[tuple[int, np.ndarray, n
             yield a, symbols, docs, buffer, begins, ends, (s + lo, c, h)
 
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, spec: Texts, resolve: Callable, hot_places: int = HOT) -> DataFrame:
+def repeated_windows(docs: DataFrame, single: DataFrame, id_col: str, text_col: str, spec: Texts, resolve: Callable, hot_places: int = HOT) -> DataFrame:
     """(id, begins, ends) for documents with repeats: ranges of symbols covered by windows that also start earlier.
 
-    ``docs`` holds each text once, with its smallest id; earlier is by (id, start).
+    Earlier is by (id, start).  ``single`` holds each text of ``docs`` once, with its smallest id; the first pass reads
+    ``docs`` where it lies, as a copy that it asks for only makes an anchor look more frequent.
     """
     buckets = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    text = docs.select(F.col(id_col).cast("long").alias("_id"), common.utf8(text_col).alias("_text"))
-    asked = common.map_batches(text, _ask(spec, buckets), "bucket int, ids binary, hashes binary, kinds binary")
+    every, text = (d.select(F.col(id_col).cast("long").alias("_id"), common.utf8(text_col).alias("_text")) for d in (docs, single))
+    asked = common.map_batches(every, _ask(spec, buckets), "bucket int, ids binary, hashes binary, kinds binary")
     told = common.cut(asked.groupBy("bucket").applyInArrow(_tell(hot_places), "_id long, hashes binary, places long"))
     places = told.agg(F.sum("places")).first()[0] or 0
     hot = _hot(told, max(hot_places, places // HOT_ANCHORS))
@@ -137,6 +138,10 @@ def _ask(spec: Texts, buckets: int) -> Callable:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        first: dict[bytes, int] = {}
+        for i in np.argsort(ids, kind="stable").tolist():
+            if first.setdefault(texts[i], i) != i:
+                texts[i] = b""  # a copy in this batch
         all_ids, all_hashes = [], []
         for at, _, docs, _, _, _, (starts, _, hashes) in pieces(texts, spec):
             all_ids.append(ids[at + docs[starts]])
