@@ -102,7 +102,7 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 7) -> tuple[dict[str,
         model[f"bias{w}"] = np.zeros(FILTERS)
     model["out"] = rng.normal(0, 0.2, (FILTERS * len(WIDTHS), len(names)))
     model["shift"] = np.zeros(len(names))
-    adam = Adam(model, 0.01)
+    adam = Adam(model, {}, 0.01)
     for _ in range(EPOCHS):
         order = rng.permutation(len(x))
         for at in range(0, len(order), BATCH):

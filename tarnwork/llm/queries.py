@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, packing, simhash, substrings, suffixes
+from . import langid, licenses, packing, simhash, substrings, suffixes, toxicity
 from .common import table
 
 
@@ -39,5 +39,9 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_langid": op8_langid, "op3_licenses": op3_licenses, "op5_packing": op5_packing, "op6_suffixes": op6_suffixes, "op10_substrings": op10_substrings, "op9_simhash": op9_simhash}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op4_toxicity": op4_toxicity, "op8_langid": op8_langid, "op3_licenses": op3_licenses, "op5_packing": op5_packing, "op6_suffixes": op6_suffixes, "op10_substrings": op10_substrings, "op9_simhash": op9_simhash}
 ORACLE_SQL: dict[str, str] = {}

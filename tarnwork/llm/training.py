@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 
 class Adam:
-    def __init__(self, values: dict[str, np.ndarray], rate: float):
-        self.values, self.rate, self.step = values, rate, 0
+    def __init__(self, values: dict[str, np.ndarray], rates: dict[str, float], rate: float):
+        self.values, self.rates, self.step = values, {k: rates.get(k, rate) for k in values}, 0
         self.m = {k: np.zeros_like(v) for k, v in values.items()}
         self.v = {k: np.zeros_like(v) for k, v in values.items()}
 
@@ -18,7 +18,7 @@ class Adam:
         for k, g in gradients.items():
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.001 * (g * g - self.v[k])
-            self.values[k] -= self.rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.999**self.step)) + 1e-8)
+            self.values[k] -= self.rates[k] * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.999**self.step)) + 1e-8)
 
 
 def held_out(id_col: str) -> Column:
