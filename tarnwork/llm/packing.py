@@ -10,6 +10,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -24,58 +25,100 @@ GROUP = 16_384
 CACHE = 400_000
 
 
+class Numbered:
+    """Token ids of strings, each under a number, in flat arrays that grow."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def add(self, strings: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        total, first, last = len(ids), len(self.number), len(self.number) + len(strings)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while last > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        self.flat[self.used : self.used + total] = ids
+        self.size[first:last], self.begin[first:last] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.used += total
+        self.number.update(zip(strings, range(first, last), strict=True))
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered strings one after another, and how many each has."""
+        size = self.size[which]
+        total = np.cumsum(size)
+        n = int(total[-1]) if len(total) else 0
+        return self.flat[np.arange(n) + np.repeat(self.begin[which] - total + size, size)], size
+
+
 class Ids:
-    """Token ids of whole texts.  The tokenizer drops white space and works on what stands between, so each chunk between
-    white space is encoded once and remembered."""
+    """Token ids of whole texts.
+
+    The tokenizer lower-cases, drops white space and takes each run of letters by itself, so a chunk between white space
+    has the same ids wherever it stands.  Chunks are remembered, and below them the runs of letters that most chunks are
+    but for a mark at their end; many new runs are encoded at once, and their last tokens, which end a word, part them.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._clear()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.chunks, self.runs = Numbered(), Numbered()
 
-    def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-        self.used = 0
+    def _encode_runs(self, runs: list[str]) -> None:
+        for at in range(0, len(runs), 2048):
+            some = runs[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some) and (not len(ids) or ends[-1] == len(ids)):
+                self.runs.add(some, ids, np.diff(ends, prepend=0))
+            else:  # a run that the tokenizer parts, or a vocabulary without word ends
+                each = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                self.runs.add(some, np.fromiter((i for e in each for i in e), np.uint32), np.fromiter(map(len, each), np.int64))
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.number) + len(chunks) > CACHE:
-            self._clear()
-        for at in range(0, len(chunks), 4096):
-            some = chunks[at : at + 4096]
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, encoded), np.int64, len(some))
-            total, first = int(sizes.sum()), len(self.number)
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while first + len(some) > len(self.begin):
-                self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-            self.flat[self.used : self.used + total] = np.fromiter((i for e in encoded for i in e), np.uint32, total)
-            self.size[first : first + len(some)] = sizes
-            self.begin[first : first + len(some)] = self.used + np.cumsum(sizes) - sizes
-            self.used += total
-            self.number.update(zip(some, range(first, first + len(some)), strict=True))
+        if len(self.chunks.number) + len(chunks) > CACHE:
+            self.chunks = Numbered()
+        if len(self.runs.number) > CACHE:
+            self.runs = Numbered()
+        simple, parts, other = [], [], []
+        for chunk in chunks:
+            low = chunk.lower() if chunk.isascii() else normalize("NFC", chunk).lower()
+            if low.isalpha():
+                simple.append(chunk)
+                parts.append((low,))
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                simple.append(chunk)
+                parts.append((low[:-1], low[-1]))
+            else:
+                other.append(chunk)
+        known = self.runs.number
+        new = {r for p in parts for r in p if r not in known}
+        if new:
+            self._encode_runs(list(new))
+        which = np.fromiter((known[r] for p in parts for r in p), np.int64)
+        ids, size = self.runs.gather(which)
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.chunks.add(simple, ids, np.add.reduceat(size, np.cumsum(count) - count) if len(count) else size)
+        if other:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            self.chunks.add(other, np.fromiter((i for e in each for i in e), np.uint32), np.fromiter(map(len, each), np.int64))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         chunks = [t.split() for t in texts]
-        new = {c for words in chunks for c in words if c not in self.number}
+        known = self.chunks.number
+        new = {c for words in chunks for c in words if c not in known}
         if new:
-            if len(self.number) + len(new) > CACHE:
+            if len(known) + len(new) > CACHE:
                 new = {c for words in chunks for c in words}
             self._learn(list(new))
-        get = self.number.__getitem__
-        out = []
-        for words in chunks:
-            which = np.fromiter(map(get, words), np.int64, len(words))
-            size = self.size[which]
-            total = np.cumsum(size)
-            n = int(total[-1]) if len(total) else 0
-            out.append(self.flat[np.arange(n) + np.repeat(self.begin[which] - total + size, size)])
-        return out
+        get = self.chunks.number.__getitem__
+        return [self.chunks.gather(np.fromiter(map(get, words), np.int64, len(words)))[0] for words in chunks]
 
 
 def encoded_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str, groups: int) -> DataFrame:
