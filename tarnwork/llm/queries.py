@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, packing, simhash, substrings, suffixes, toxicity
+from . import embeddings, langid, licenses, packing, sharding, simhash, substrings, suffixes, toxicity
 from .common import table
 
 
@@ -43,5 +43,30 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op4_toxicity": op4_toxicity, "op8_langid": op8_langid, "op3_licenses": op3_licenses, "op5_packing": op5_packing, "op6_suffixes": op6_suffixes, "op10_substrings": op10_substrings, "op9_simhash": op9_simhash}
-ORACLE_SQL: dict[str, str] = {}
+#: Bytes of a shard, as a loader reads them at a time.
+SHARD_BYTES = 1 << 20
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op7_embeddings": op7_embeddings, "op4_toxicity": op4_toxicity, "op8_langid": op8_langid, "op3_licenses": op3_licenses, "op5_packing": op5_packing, "op6_suffixes": op6_suffixes, "op10_substrings": op10_substrings, "op9_simhash": op9_simhash}
+ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": f"""
+        WITH r AS (SELECT doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT AS h, coalesce(strlen(text), 0)::BIGINT AS n_bytes FROM documents),
+        s AS (SELECT d.depth, h >> (32 - d.depth) AS bits, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_rows FROM r, (SELECT CAST(range AS INTEGER) AS depth FROM range(0, 33)) d GROUP BY ALL),
+        c AS (SELECT r.*, s.*, row_number() OVER (PARTITION BY doc_id ORDER BY s.depth) AS k FROM r JOIN s ON s.bits = r.h >> (32 - s.depth) WHERE shard_bytes <= {SHARD_BYTES} OR s.depth = 32)
+        SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(bits), depth, '0') END AS shard, CAST(0 AS BIGINT) AS page, shard_bytes, shard_rows FROM c WHERE k = 1""",
+    "op7_embeddings": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach AS (SELECT vec_id AS n, vec_id AS r FROM v UNION SELECT reach.n, l.b FROM reach JOIN l ON l.a = reach.r),
+        c AS (SELECT n, min(r) AS component_id FROM reach GROUP BY n),
+        k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+        SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN c ON c.n = v.vec_id LEFT JOIN k ON k.a = v.vec_id""",
+}
