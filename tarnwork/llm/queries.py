@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, langid, licenses, packing, sharding, simhash, substrings, suffixes, toxicity
+from . import decontamination, embeddings, langid, licenses, packing, sharding, simhash, substrings, suffixes, toxicity
 from .common import table
 
 
@@ -55,7 +55,11 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op7_embeddings": op7_embeddings, "op4_toxicity": op4_toxicity, "op8_langid": op8_langid, "op3_licenses": op3_licenses, "op5_packing": op5_packing, "op6_suffixes": op6_suffixes, "op10_substrings": op10_substrings, "op9_simhash": op9_simhash}
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op2_decontamination": op2_decontamination, "op1_sharding": op1_sharding, "op7_embeddings": op7_embeddings, "op4_toxicity": op4_toxicity, "op8_langid": op8_langid, "op3_licenses": op3_licenses, "op5_packing": op5_packing, "op6_suffixes": op6_suffixes, "op10_substrings": op10_substrings, "op9_simhash": op9_simhash}
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": f"""
         WITH r AS (SELECT doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT AS h, coalesce(strlen(text), 0)::BIGINT AS n_bytes FROM documents),

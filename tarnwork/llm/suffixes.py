@@ -155,19 +155,19 @@ def common_windows(width: int):
     return resolve
 
 
-def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, seed: int = 40) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, with the kept bytes as ``kept``.
+def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, seed: int = 40, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, with the kept bytes as ``kept`` and the columns ``carry``.
 
     A byte of the UTF-8 text goes if a string of ``width`` bytes that covers it also starts earlier, by (id, start), as
     judged on the input.  Null and empty texts have no bytes.  Of rows with one text the smallest id stands first; the
     others lose the whole text if it has ``width`` bytes or more.  Ids should be unique; rows that repeat an id and text
     are each judged as that id's first row, and rows that share an id alone are unordered.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
+    docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col, *carry)
     first = docs.join(common.text_classes(docs, id_col, text_col).distinct(), id_col)
     single = first.filter(F.col("first") == F.col(id_col)).select(id_col, text_col)
     ranges = repeated_windows(docs, single, id_col, text_col, Texts(width, seed, bytes_of), common_windows(width))
-    joined = first.join(ranges, id_col, "left").select(id_col, common.utf8(text_col).alias("_text"), (F.col("first") != F.col(id_col)).alias("copy"), "begins", "ends")
+    joined = first.join(ranges, id_col, "left").select(id_col, common.utf8(text_col).alias("_text"), (F.col("first") != F.col(id_col)).alias("copy"), "begins", "ends", *carry)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, texts, copies, begins, ends = (batch.column(i) for i in range(5))
@@ -185,6 +185,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             spans.append(runs)
             digests.append(hashlib.sha256(kept).hexdigest())
             rest.append(kept)
-        return pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.int64()) for x in (sizes, removed, spans)], pa.array(digests), pa.array(rest, pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        return pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.int64()) for x in (sizes, removed, spans)], pa.array(digests), pa.array(rest, pa.binary()), *[batch.column(c) for c in carry]], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *carry])
 
-    return common.map_batches(joined, work, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in carry)
+    return common.map_batches(joined, work, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary{more}")

@@ -267,24 +267,45 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 11) -> dict[str, np.n
     return {k: v.astype(np.float32) for k, v in model.items()}
 
 
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> dict[str, np.ndarray] | None:
+    known = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("t")).join(labels.filter(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y")), id_col).filter(~held_out(id_col) & F.col("t").isNotNull())
+    rows = [r for k in (0, 1) for r in sample(known.filter(F.col("y") == k), id_col, FIT_DOCS).select("t", "y").collect()]
+    return fit([bytes(r.t) for r in rows], [r.y for r in rows]) if {r.y for r in rows} == {0, 1} else None
+
+
+def scores(model: dict[str, np.ndarray] | None, texts: list[bytes]) -> np.ndarray:
+    if model is None:
+        return np.zeros(len(texts))
+    words = Words(texts)
+    found = sigmoid(most(window_logits(model, words), words, -30.0).astype(np.float64))
+    found[words.per_text == 0] = 0
+    return found
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The documents whose score is below the threshold, as they are."""
+    model = fitted(docs, labels, id_col, text_col, label_col)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(text_col).cast(pa.binary()).to_pylist()
+        keep = [scores(model, [t or b"" for t in texts[a:b]]) < THRESHOLD for a, b in common.steps([t or b"" for t in texts])]
+        return batch.filter(pa.array(np.concatenate(keep)))
+
+    return common.map_batches(docs, work, docs.schema)
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(id, held_out, score, predicted) of every row.
 
     Learns from up to ``FIT_DOCS`` labelled rows of either label that are not held out; ids, labels, languages and sources
     are no input of a score.  A null text or one without words has score 0; so has every text if only one label is known.
     """
-    known = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("t")).join(labels.filter(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y")), id_col).filter(~held_out(id_col) & F.col("t").isNotNull())
-    rows = [r for k in (0, 1) for r in sample(known.filter(F.col("y") == k), id_col, FIT_DOCS).select("t", "y").collect()]
-    model = fit([bytes(r.t) for r in rows], [r.y for r in rows]) if {r.y for r in rows} == {0, 1} else None
+    model = fitted(docs, labels, id_col, text_col, label_col)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1).to_pylist()
         for a, b in common.steps(texts):
-            found = np.zeros(b - a)
-            if model is not None:
-                words = Words(texts[a:b])
-                found = sigmoid(most(window_logits(model, words), words, -30.0).astype(np.float64))
-                found[words.per_text == 0] = 0
+            found = scores(model, texts[a:b])
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(found, pa.float64()), pa.array((found >= THRESHOLD).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     kept = docs.select(F.col(id_col).cast("long").alias(id_col), common.utf8(text_col).alias("_text"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"))
