@@ -61,15 +61,17 @@ def steps(texts: list[bytes], most: int = STEP_BYTES) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
-def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, first): the smallest id among the documents with the very same bytes, by SHA-256.
+def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, copy, carried columns), materialised; copy: whether a smaller id has the very same bytes, by SHA-256.
 
-    Only ids and digests are shuffled.  The smallest id of each digest comes from a grouped minimum, which is combined
-    before the shuffle, and is joined back, so that a digest that a third of all rows hold is split by the skew join.
+    Only ids and digests are shuffled, and repeated ids come to one row.  The smallest id of each digest comes from a
+    grouped minimum, which is combined before the shuffle, and is joined back, so that a digest that a third of all rows
+    hold is split by the skew join.
     """
-    keyed = docs.select(F.col(id_col), F.sha2(utf8(text_col), 256).alias("_digest"))
-    firsts = keyed.groupBy("_digest").agg(F.min(id_col).alias("first"))
-    return keyed.join(firsts, "_digest").select(id_col, "first")
+    keyed = docs.select(F.col(id_col), F.sha2(utf8(text_col), 256).alias("_digest"), *carry)
+    firsts = keyed.groupBy("_digest").agg(F.min(id_col).alias("_first"))
+    told = keyed.join(firsts, "_digest").groupBy(id_col).agg(F.min(F.col("_first") != F.col(id_col)).alias("copy"), *[F.min(c).alias(c) for c in carry])
+    return cut(told)
 
 
 def components(edges: DataFrame) -> DataFrame:

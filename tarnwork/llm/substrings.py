@@ -86,11 +86,11 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows that repeat an id and text are each judged as that id's first row, and rows that share an id alone are unordered.
     """
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    first = docs.join(common.text_classes(docs, id_col, text_col).distinct(), id_col)
-    single = first.filter(F.col("first") == F.col(id_col)).select(id_col, text_col)
+    classes = common.text_classes(docs, id_col, text_col)
+    docs = docs.select(id_col, text_col)
     spec = Texts(width, seed, words_of)
-    ranges = repeated_windows(docs, single, id_col, text_col, spec, sorted_windows(width))
-    joined = first.join(ranges, id_col, "left").select(id_col, common.utf8(text_col).alias("_text"), (F.col("first") != F.col(id_col)).alias("copy"), "begins", "ends")
+    ranges = repeated_windows(docs, classes.filter("not copy").select(id_col), id_col, text_col, spec, sorted_windows(width))
+    joined = docs.join(classes.join(ranges, id_col, "left"), id_col).select(id_col, common.utf8(text_col).alias("_text"), "copy", "begins", "ends")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, texts, copies, begins, ends = (batch.column(i) for i in range(5))

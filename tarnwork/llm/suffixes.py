@@ -164,10 +164,10 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are each judged as that id's first row, and rows that share an id alone are unordered.
     """
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col, *carry)
-    first = docs.join(common.text_classes(docs, id_col, text_col).distinct(), id_col)
-    single = first.filter(F.col("first") == F.col(id_col)).select(id_col, text_col)
-    ranges = repeated_windows(docs, single, id_col, text_col, Texts(width, seed, bytes_of), common_windows(width))
-    joined = first.join(ranges, id_col, "left").select(id_col, common.utf8(text_col).alias("_text"), (F.col("first") != F.col(id_col)).alias("copy"), "begins", "ends", *carry)
+    classes = common.text_classes(docs, id_col, text_col, carry)
+    docs, kinds = docs.select(id_col, text_col), {f.name: f.dataType.simpleString() for f in docs.schema}
+    ranges = repeated_windows(docs, classes.filter("not copy").select(id_col), id_col, text_col, Texts(width, seed, bytes_of), common_windows(width))
+    joined = docs.join(classes.join(ranges, id_col, "left"), id_col).select(id_col, common.utf8(text_col).alias("_text"), "copy", "begins", "ends", *carry)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, texts, copies, begins, ends = (batch.column(i) for i in range(5))
@@ -187,5 +187,5 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             rest.append(kept)
         return pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.int64()) for x in (sizes, removed, spans)], pa.array(digests), pa.array(rest, pa.binary()), *[batch.column(c) for c in carry]], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *carry])
 
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in carry)
+    more = "".join(f", `{c}` {kinds[c]}" for c in carry)
     return common.map_batches(joined, work, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary{more}")

@@ -115,20 +115,21 @@ def pieces(texts: list[bytes], spec: Texts) -> Iterator[tuple[int, np.ndarray, n
             yield a, symbols, docs, buffer, begins, ends, (s + lo, c, h)
 
 
-def repeated_windows(docs: DataFrame, single: DataFrame, id_col: str, text_col: str, spec: Texts, resolve: Callable, hot_places: int = HOT) -> DataFrame:
+def repeated_windows(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, spec: Texts, resolve: Callable, hot_places: int = HOT) -> DataFrame:
     """(id, begins, ends) for documents with repeats: ranges of symbols covered by windows that also start earlier.
 
-    Earlier is by (id, start).  ``single`` holds each text of ``docs`` once, with its smallest id; the first pass reads
-    ``docs`` where it lies, as a copy that it asks for only makes an anchor look more frequent.
+    Earlier is by (id, start).  ``firsts`` holds the ids that stand first among equal texts, and only their texts are
+    packed.  The first pass reads ``docs`` where it lies: a copy that it asks for only makes an anchor look more frequent.
     """
     buckets = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every, text = (d.select(F.col(id_col).cast("long").alias("_id"), common.utf8(text_col).alias("_text")) for d in (docs, single))
+    every = docs.select(F.col(id_col).alias("_id"), common.utf8(text_col).alias("_text"))
     asked = common.map_batches(every, _ask(spec, buckets), "bucket int, ids binary, hashes binary, kinds binary")
     told = common.cut(asked.groupBy("bucket").applyInArrow(_tell(hot_places), "_id long, hashes binary, places long"))
     places = told.agg(F.sum("places")).first()[0] or 0
     hot = _hot(told, max(hot_places, places // HOT_ANCHORS))
-    wanted = told.filter("_id is not null").groupBy("_id").agg(F.collect_list("hashes").alias("hashes"))
-    packed = common.map_batches(text.join(wanted, "_id"), _pack(spec, hot, buckets), "bucket int, rows binary")
+    wanted = told.filter("_id is not null").select(F.col("_id").alias(id_col), "hashes").join(firsts, id_col).groupBy(id_col).agg(F.collect_list("hashes").alias("hashes"))
+    text = docs.select(id_col, text_col).join(wanted, id_col).select(F.col(id_col).alias("_id"), common.utf8(text_col).alias("_text"), "hashes")
+    packed = common.map_batches(text, _pack(spec, hot, buckets), "bucket int, rows binary")
     found = packed.groupBy("bucket").applyInArrow(_settle(resolve, spec), "_id long, begins binary, ends binary")
     return found.groupBy("_id").agg(F.collect_list("begins").alias("begins"), F.collect_list("ends").alias("ends")).withColumnRenamed("_id", id_col)
 
