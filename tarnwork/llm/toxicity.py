@@ -24,7 +24,7 @@ from .training import Adam, held_out, sample
 WINDOW, STRIDE, WORD_ROWS, CHAR_ROWS, EMBED, HIDDEN, ATTEND = 16, 8, 1 << 13, 1 << 13, 8, 8, 8
 GRAMS = (3, 5)
 #: Documents of each label that the network is fitted on, at most, and windows of each in an epoch.
-FIT_DOCS, NEGATIVES, BATCH = 1500, 3, 64
+FIT_DOCS, NEGATIVES, BATCH = 1000, 3, 64
 #: In each of the two phases: passes, and steps at least, so that a small sample is learned as well.
 PHASES = ((3, 100), (4, 150))
 THRESHOLD = 0.7
@@ -34,18 +34,14 @@ class Words:
     """Texts as hashed rows of words and of their character n-grams, with the windows over them."""
 
     def __init__(self, texts: list[bytes]):
-        hashes, docs, buffer, begins, ends = words_of([t.translate(WORDS) for t in texts])
-        self.word = (hashes % np.uint64(WORD_ROWS)).astype(np.int64)
-        data = np.frombuffer(b" " * 4 + buffer + b" " * 4, np.uint8).astype(np.uint64) + np.uint64(1)
-        self.grams = []
-        n = len(buffer)
-        for size in GRAMS:
-            h = np.zeros(n, np.uint64)
-            for j in range(size):
-                h = h * np.uint64(0x100000001B3) + data[4 - size // 2 + j : 4 - size // 2 + j + n]
-            self.grams.append((mixed(h) % np.uint64(CHAR_ROWS)).astype(np.int64))
-        self.begins, self.sizes = begins, ends - begins
-        count = np.bincount(docs, minlength=len(texts)) if len(docs) else np.zeros(len(texts), np.int64)
+        parts = [self._rows(texts[a:b], a) for a, b in common.steps(texts)] or [self._rows([], 0)]
+        offsets = np.cumsum([0, *[p[4] for p in parts[:-1]]])
+        self.word = np.concatenate([p[0] for p in parts])
+        self.grams = [np.concatenate([p[1][k] for p in parts]) for k in range(len(GRAMS))]
+        self.begins = np.concatenate([p[2] + o for p, o in zip(parts, offsets, strict=True)])
+        self.sizes = np.concatenate([p[3] for p in parts])
+        self.text = np.concatenate([p[5] for p in parts])
+        count = np.bincount(self.text, minlength=len(texts)) if len(self.text) else np.zeros(len(texts), np.int64)
         first = np.cumsum(count) - count
         self.per_text = np.where(count > 0, np.maximum(1, -(-(count - WINDOW) // STRIDE) + 1), 0)
         of = np.repeat(np.arange(len(texts)), self.per_text)
@@ -53,20 +49,38 @@ class Words:
         start = np.minimum(turn * STRIDE, np.maximum(count[of] - WINDOW, 0))
         at = first[of][:, None] + start[:, None] + np.arange(WINDOW)
         real = start[:, None] + np.arange(WINDOW) < count[of][:, None]
-        self.of, self.windows = of, np.where(real, at, -1)  # word numbers; -1: past a short text's end
-
-    def sums(self, table: np.ndarray) -> np.ndarray:
-        """The mean row of each word's character n-grams."""
-        total = table[self.grams[0]]
-        for g in self.grams[1:]:
-            total += table[g]
-        if not len(self.begins):
-            return np.zeros((0, table.shape[1]), table.dtype)
-        edges = np.stack([self.begins, np.minimum(self.begins + self.sizes, len(total) - 1)], axis=1).ravel()
-        out = np.add.reduceat(total, edges, axis=0)[::2]
-        if self.begins[-1] + self.sizes[-1] == len(total):  # the last word ends the buffer
-            out[-1] = total[self.begins[-1] :].sum(axis=0)
-        return out * self.share()[:, None].astype(table.dtype)
+        self.of, self.windows = of, np.where(real, at, -1).astype(np.int32)  # word numbers; -1: past a short text's end
+
+    @staticmethod
+    def _rows(texts: list[bytes], before: int) -> tuple:
+        """Of one step: rows of words and of their n-grams, where the words lie in its bytes, and their texts."""
+        hashes, docs, buffer, begins, ends = words_of([t.translate(WORDS) for t in texts])
+        data = np.frombuffer(b" " * 4 + buffer + b" " * 4, np.uint8).astype(np.uint64) + np.uint64(1)
+        n, grams = len(buffer), []
+        for size in GRAMS:
+            h = np.zeros(n, np.uint64)
+            for j in range(size):
+                h = h * np.uint64(0x100000001B3) + data[4 - size // 2 + j : 4 - size // 2 + j + n]
+            grams.append((mixed(h) % np.uint64(CHAR_ROWS)).astype(np.int32))
+        return (hashes % np.uint64(WORD_ROWS)).astype(np.int32), grams, begins, ends - begins, n, docs + before
+
+    def parts(self, most: int = 1 << 16) -> Iterator[tuple[int, int, int, int]]:
+        """Ranges of words, whole texts each, with the range of bytes that they lie in."""
+        ends = np.flatnonzero(np.append(self.text[1:] != self.text[:-1], True)) + 1 if len(self.text) else np.zeros(0, np.int64)
+        a = 0
+        for k, end in enumerate(ends.tolist()):
+            if k + 1 == len(ends) or ends[k + 1] - a > most:
+                yield a, end, int(self.begins[a]), int(self.begins[end - 1] + self.sizes[end - 1])
+                a = end
+
+    def sums(self, table: np.ndarray, part: tuple[int, int, int, int]) -> np.ndarray:
+        """The mean row of the character n-grams of each word of a part."""
+        a, b, lo, hi = part
+        total = np.zeros((hi - lo + 1, table.shape[1]), table.dtype)
+        for g in self.grams:
+            total[:-1] += table[g[lo:hi]]
+        edges = np.stack([self.begins[a:b] - lo, self.begins[a:b] + self.sizes[a:b] - lo], axis=1).ravel()
+        return np.add.reduceat(total, edges, axis=0)[::2] * self.share()[a:b, None].astype(table.dtype)
 
     def share(self) -> np.ndarray:
         return 1 / (len(GRAMS) * self.sizes)
@@ -179,30 +193,30 @@ def step(model: dict[str, np.ndarray], words: Words, chosen: np.ndarray, y: np.n
 
 def window_logits(model: dict[str, np.ndarray], words: Words, size: int = 2048) -> np.ndarray:
     """Logits of all windows.  Words are projected once, however many windows hold them."""
-    windows = words.windows
-    if not len(windows):
-        return np.zeros(0)
-    inputs = np.concatenate([model["word"][words.word], words.sums(model["char"])], axis=1)
-    parts = {d: np.vstack([inputs @ model[f"in_{d}"] + model[f"bias_{d}"], model[f"bias_{d}"][None]]) for d in "fb"}  # the last row: no word
-    out = []
-    for a in range(0, len(windows), size):
-        at = windows[a : a + size]
-        states = np.empty((WINDOW, len(at), 2 * HIDDEN), np.float32)
-        for d, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
-            h = np.zeros((len(at), HIDDEN), np.float32)
-            back = model[f"back_{d}"]
-            for t in order:
-                x, g = parts[d][at[:, t]], h @ back
-                zr = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
-                new = np.tanh(x[:, 2 * HIDDEN :] + zr[:, HIDDEN:] * g[:, 2 * HIDDEN :])
-                h = new + zr[:, :HIDDEN] * (h - new)
-                states[t, :, (0 if d == "f" else HIDDEN) : (HIDDEN if d == "f" else 2 * HIDDEN)] = h
-        score = np.tanh(states @ model["attend"]) @ model["query"]
-        score[at.T < 0] = -1e9
-        weight = np.exp(score - score.max(axis=0))
-        value = states @ model["out"]
-        out.append((weight * value).sum(axis=0) / weight.sum(axis=0) + model["shift"][0])
-    return np.concatenate(out)
+    out = np.zeros(len(words.windows))
+    for lo, hi, first, last in words.parts():
+        inputs = np.concatenate([model["word"][words.word[lo:hi]], words.sums(model["char"], (lo, hi, first, last))], axis=1)
+        parts = {d: np.vstack([inputs @ model[f"in_{d}"] + model[f"bias_{d}"], model[f"bias_{d}"][None]]) for d in "fb"}  # the last row: no word
+        begin, end = np.searchsorted(words.of, [words.text[lo], words.text[hi - 1] + 1])
+        for a in range(begin, end, size):
+            at = words.windows[a : min(a + size, end)]
+            at = np.where(at < 0, -1, at - lo)
+            states = np.empty((WINDOW, len(at), 2 * HIDDEN), np.float32)
+            for d, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
+                h = np.zeros((len(at), HIDDEN), np.float32)
+                back = model[f"back_{d}"]
+                for t in order:
+                    x, g = parts[d][at[:, t]], h @ back
+                    zr = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
+                    new = np.tanh(x[:, 2 * HIDDEN :] + zr[:, HIDDEN:] * g[:, 2 * HIDDEN :])
+                    h = new + zr[:, :HIDDEN] * (h - new)
+                    states[t, :, (0 if d == "f" else HIDDEN) : (HIDDEN if d == "f" else 2 * HIDDEN)] = h
+            score = np.tanh(states @ model["attend"]) @ model["query"]
+            score[at.T < 0] = -1e9
+            weight = np.exp(score - score.max(axis=0))
+            value = states @ model["out"]
+            out[a : a + len(at)] = (weight * value).sum(axis=0) / weight.sum(axis=0) + model["shift"][0]
+    return out
 
 
 def most(values: np.ndarray, words: Words, empty: float) -> np.ndarray:
@@ -216,20 +230,24 @@ def most(values: np.ndarray, words: Words, empty: float) -> np.ndarray:
 
 def log_odds(words: Words, y: np.ndarray) -> np.ndarray:
     """A first guess for each window: the largest log-odds of its words' rows, by the texts that hold them."""
-    text_of_word = np.zeros(len(words.word), np.int64)
-    flat = words.windows.ravel()
-    text_of_word[flat[flat >= 0]] = np.repeat(words.of, WINDOW)[flat >= 0]
-    owner = np.repeat(np.arange(len(words.word)), words.sizes)
-    places = np.concatenate([np.arange(b, b + n) for b, n in zip(words.begins.tolist(), words.sizes.tolist(), strict=True)]) if len(owner) else owner
-
-    def odds(rows: np.ndarray, texts: np.ndarray, size: int) -> np.ndarray:
-        pairs = np.unique(texts * size + rows)
-        pos, neg = (np.bincount((pairs % size)[y[pairs // size] == k], minlength=size) for k in (1, 0))
-        return np.log((pos + 0.1) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
-
-    value = odds(words.word, text_of_word, WORD_ROWS)[words.word]
-    for g in words.grams:
-        np.maximum.at(value, owner, odds(g[places], text_of_word[owner], CHAR_ROWS)[g[places]])
+    counts = [np.zeros((2, size)) for size in (WORD_ROWS, CHAR_ROWS)]
+
+    def places(a: int, b: int, lo: int) -> np.ndarray:
+        return np.arange(int(words.sizes[a:b].sum())) + np.repeat(words.begins[a:b] - (np.cumsum(words.sizes[a:b]) - words.sizes[a:b]), words.sizes[a:b])
+
+    for a, b, lo, _ in words.parts():
+        at, owner = places(a, b, lo), np.repeat(words.text[a:b], words.sizes[a:b])
+        for count, texts, rows in ((counts[0], words.text[a:b], [words.word[a:b]]), (counts[1], owner, [g[at] for g in words.grams])):
+            size = count.shape[1]
+            pairs = np.unique(np.concatenate([texts * size + r for r in rows]))
+            np.add.at(count, (y[pairs // size], pairs % size), 1)
+    of_word, of_gram = (np.log((c[1] + 0.1) / (y.sum() + 1)) - np.log((c[0] + 0.5) / ((1 - y).sum() + 1)) for c in counts)
+    value = of_word[words.word]
+    for a, b, lo, _ in words.parts():
+        at = places(a, b, lo)
+        first = np.cumsum(words.sizes[a:b]) - words.sizes[a:b]
+        for g in words.grams:
+            value[a:b] = np.maximum(value[a:b], np.maximum.reduceat(of_gram[g[at]], first))
     return np.append(value, -99.0)[words.windows].max(axis=1)
 
 
