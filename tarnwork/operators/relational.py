@@ -185,9 +185,9 @@ def unique_ids(df: DataFrame, base: str, order: str, taken: DataFrame | None = N
     return out.withColumn("unique_id", F.when(k == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), k.cast("string")))).drop("_k", "_used")
 
 
-def running_budget(df: DataFrame, by: list[str], order: str, cost: str, cap: float) -> DataFrame:
+def running_budget(df: DataFrame, by: list[str], order: list[str], cost: str, cap: float) -> DataFrame:
     """[W08] spent so far, the row that goes over counted; state: ok, tripped or refused."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     spent = F.sum(cost).over(w)
     return df.withColumn("spent", spent).withColumn("state", F.when(F.col("spent") <= cap, F.lit("ok")).when(F.col("spent") - F.col(cost) <= cap, F.lit("tripped")).otherwise(F.lit("refused")))
 
