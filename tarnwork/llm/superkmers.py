@@ -250,6 +250,8 @@ def _pack(spec: Texts, burning: np.ndarray, buckets: int) -> Callable:
                         seen[key, string] = len(heads)
                         heads.append((*head, -1))
                         strings.append(string)
+                    elif head[:2] == heads[j][:2]:
+                        continue  # a repeated row
                     elif head[:2] < heads[j][:2]:  # the one that stood here is a repeat now
                         heads.append((*heads[j][:5], j))
                         strings.append(b"")
@@ -293,8 +295,8 @@ def _settle(resolve: Callable, spec: Texts) -> Callable:
         keys = head["hash"].tolist()
         order = np.lexsort((starts, ids))
         for i in order[~repeat[order]].tolist():  # by (id, start): the first of equal strings stays
-            if best.setdefault((keys[i], strings[i]), i) != i:
-                repeat[i] = True
+            j = best.setdefault((keys[i], strings[i]), i)
+            repeat[i] = j != i and (ids[i], starts[i]) != (ids[j], starts[j])  # a repeated row is no repeat of itself
         left = np.array(sorted(best.values(), key=keys.__getitem__), np.int64)
         out = [(ids[repeat], starts[repeat], starts[repeat] + counts[repeat])]
         if len(left):
