@@ -241,6 +241,6 @@ def accept_in_order(df: DataFrame, order: str, keys: list[str], limit: int) -> D
                 for v, s in zip(own, seen, strict=True):
                     if v is not None and v == v:
                         s.add(v)
-        return pd.DataFrame(out, columns=rows.columns)
+        return pd.DataFrame(out, columns=rows.columns).drop(columns="_all")
 
-    return df.groupBy(F.lit(1)).applyInPandas(fold, df.schema)
+    return df.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(fold, df.schema)
