@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .simhash import LOWER
-from .training import Adam, held_out, sample
+from .training import Adam, held_out, sample, texts_of
 
 WINDOW, WIDTHS, EMBED, FILTERS = 128, (2, 3, 4), 8, 16
 STRIDE = WINDOW - max(WIDTHS) + 1  # windows overlap so that every byte run of a filter's width lies in one
@@ -138,9 +138,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     of a prediction.  All windows of a text count; its label has the highest mean log-probability, and score is that
     label's share.  A null text or one without a letter is ``und`` with score 0, as is every text if nothing was learned.
     """
-    known = docs.filter(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = sample(known.select(id_col, F.col(text_col).cast("binary").alias("t"), F.col(label_col).alias("l")), id_col, FIT_DOCS).select("t", "l").collect()
-    model, names = fit([bytes(r.t) for r in rows], [r.l for r in rows]) if rows else ({}, [])
+    known = docs.select(id_col, label_col).filter(~held_out(id_col) & F.col(label_col).isNotNull())
+    ids = sample(known, id_col, FIT_DOCS)
+    label = {r[0]: r[1] for r in known.join(F.broadcast(ids), id_col, "left_semi").distinct().limit(2 * FIT_DOCS).collect()}
+    rows = sorted(texts_of(docs, ids, id_col, text_col, FIT_DOCS), key=lambda r: r.id)
+    model, names = fit([bytes(r.t) for r in rows], [label[r.id] for r in rows]) if rows else ({}, [])
     gather = tables(model) if rows else []
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

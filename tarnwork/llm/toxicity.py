@@ -19,7 +19,7 @@ from . import common
 from .licenses import WORDS
 from .substrings import words_of
 from .superkmers import mixed
-from .training import Adam, held_out, sample
+from .training import Adam, held_out, sample, texts_of
 
 WINDOW, STRIDE, WORD_ROWS, CHAR_ROWS, EMBED, HIDDEN, ATTEND = 16, 8, 1 << 13, 1 << 13, 8, 8, 8
 GRAMS = (3, 5)
@@ -286,9 +286,11 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 11) -> dict[str, np.n
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> dict[str, np.ndarray] | None:
-    known = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("t")).join(labels.filter(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y")), id_col).filter(~held_out(id_col) & F.col("t").isNotNull())
-    rows = [r for k in (0, 1) for r in sample(known.filter(F.col("y") == k), id_col, FIT_DOCS).select("t", "y").collect()]
-    return fit([bytes(r.t) for r in rows], [r.y for r in rows]) if {r.y for r in rows} == {0, 1} else None
+    known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("y"))
+    label = {r[0]: k for k in (0, 1) for r in sample(known.filter(F.col("y") == k), id_col, FIT_DOCS).collect()}
+    ids = docs.sparkSession.createDataFrame([(i,) for i in label], f"{id_col} long")
+    rows = sorted(texts_of(docs, ids, id_col, text_col, 2 * FIT_DOCS), key=lambda r: (label[r.id], r.id))
+    return fit([bytes(r.t) for r in rows], [label[r.id] for r in rows]) if {label[r.id] for r in rows} == {0, 1} else None
 
 
 def scores(model: dict[str, np.ndarray] | None, texts: list[bytes]) -> np.ndarray:

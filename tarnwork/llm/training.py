@@ -26,6 +26,12 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
-    """``most`` rows in the order of a hash of their id: the same rows at every run and on any partitioning."""
-    return rows.orderBy(F.xxhash64(F.lit("fit"), id_col), id_col).limit(most)
+def sample(ids: DataFrame, id_col: str, most: int) -> DataFrame:
+    """``most`` ids in the order of a hash: the same ones at every run and on any partitioning.  Only ids are sorted."""
+    return ids.select(id_col).distinct().orderBy(F.xxhash64(F.lit("fit"), id_col), id_col).limit(most)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, most: int) -> list:
+    """(id, t) of at most ``most`` rows with one of ``most`` ids at the most, by a broadcast of those ids."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).filter(F.col("t").isNotNull())
+    return rows.join(F.broadcast(ids.select(F.col(id_col).alias("id"))), "id", "left_semi").limit(most).collect()
