@@ -59,7 +59,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op1_sharding": op1_sharding, "op7_embeddings": op7_embeddings, "op4_toxicity": op4_toxicity, "op8_langid": op8_langid, "op3_licenses": op3_licenses, "op5_packing": op5_packing, "op6_suffixes": op6_suffixes, "op10_substrings": op10_substrings, "op9_simhash": op9_simhash}
+QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_licenses": op3_licenses, "op4_toxicity": op4_toxicity, "op5_packing": op5_packing, "op6_suffixes": op6_suffixes, "op7_embeddings": op7_embeddings, "op8_langid": op8_langid, "op9_simhash": op9_simhash, "op10_substrings": op10_substrings}
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": f"""
         WITH r AS (SELECT doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT AS h, coalesce(strlen(text), 0)::BIGINT AS n_bytes FROM documents),
@@ -73,4 +73,18 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT n, min(r) AS component_id FROM reach GROUP BY n),
         k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
         SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN c ON c.n = v.vec_id LEFT JOIN k ON k.a = v.vec_id""",
+    "op6_suffixes": r"""
+        WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+        p AS (SELECT doc_id, CAST(i AS BIGINT) AS i, CASE WHEN i + 99 < n THEN md5(substr(x, 2 * i + 1, 200)) END AS k FROM h, unnest(range(0, n)) t(i)),
+        f AS (SELECT doc_id, i, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM p),
+        m AS (SELECT doc_id, i, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
+        s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS begins FROM m),
+        k AS (SELECT s.doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(substr(x, 2 * i + 1, 2), '' ORDER BY i) FILTER (NOT gone) AS kept FROM s JOIN h USING (doc_id) GROUP BY s.doc_id)
+        SELECT h.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN k USING (doc_id)""",
+    "op10_substrings": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, CAST(i AS BIGINT) AS i, ws[i] AS word, CASE WHEN i + 19 <= len(ws) THEN array_to_string(ws[i:i + 19], ' ') END AS k FROM w, unnest(range(1, len(ws) + 1)) t(i)),
+        f AS (SELECT *, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM p),
+        m AS (SELECT *, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM w LEFT JOIN m USING (doc_id) GROUP BY w.doc_id, len(ws)""",
 }
