@@ -45,8 +45,11 @@ def reach(spark, edge: DataFrame, most: int = 16) -> DataFrame:
     known = edge.select("src", "dst").distinct().withColumn("depth", F.lit(1))
     frontier = known
     step = edge.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct()
+    keep = spark.sparkContext.getCheckpointDir() is not None
     for d in range(2, most + 1):
-        frontier = frontier.join(step, "dst").select("src", F.col("next").alias("dst")).distinct().join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(d)).checkpoint() if spark.sparkContext.getCheckpointDir() else frontier.join(step, "dst").select("src", F.col("next").alias("dst")).distinct().join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(d))
+        further = frontier.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
+        frontier = further.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(d))
+        frontier = frontier.checkpoint() if keep else frontier
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
