@@ -13,7 +13,8 @@ from ..operators import graph as G
 from ..operators import relational as R
 from ..operators import stats as A
 from ..operators import vectors as V
-from .tables import instants, table
+from ..streaming import flows
+from .tables import instants, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -553,3 +554,13 @@ def field_fallbacks(spark, d):
 def reliability_scores(spark, d):
     stars = F.greatest(F.col("s_acctbal"), F.lit(0.0))
     return table(spark, d, "supplier").select("s_suppkey", X.display_size(stars).alias("size"), S.reliability(stars, F.col("s_nationkey") % 9, F.lit("stable"), F.col("s_nationkey") < 5).alias("reliability"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup_available_now(spark, d):
+    """The events as a file stream, each user's kinds of events once; the state is that of one run to the stream's end."""
+    path = f"{d}/[e]vents.parquet"  # a pattern, as the table may be a file or a folder
+    events = flows.files(spark, path, table(spark, d, "events").schema).select("user_id", "event_type")
+    out = scratch(spark)
+    flows.run_available(events.dropDuplicates(["user_id", "event_type"]), f"{out}/rows", f"{out}/state")
+    return spark.read.parquet(f"{out}/rows")
