@@ -22,7 +22,7 @@ from . import common
 #: Documents that one group packs together.
 GROUP = 16_384
 #: Chunks that a worker remembers; then it starts anew.
-CACHE = 400_000
+CACHE = 500_000
 
 
 class Numbered:
@@ -112,10 +112,11 @@ class Ids:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         chunks = [t.split() for t in texts]
         known = self.chunks.number
-        new = {c for words in chunks for c in words if c not in known}
+        own = set().union(*chunks)
+        new = own.difference(known)
         if new:
             if len(known) + len(new) > CACHE:
-                new = {c for words in chunks for c in words}
+                new = own
             self._learn(list(new))
         get = self.chunks.number.__getitem__
         return [self.chunks.gather(np.fromiter(map(get, words), np.int64, len(words)))[0] for words in chunks]
@@ -129,8 +130,8 @@ def encoded_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id:
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             starts, lengths, crcs = [], [], []
-            for a in range(0, len(texts), 128):
-                for got in coder.encode(texts[a : a + 128]):
+            for a in range(0, len(texts), 256):
+                for got in coder.encode(texts[a : a + 256]):
                     whole = np.append(got, np.uint32(end_id)).astype("<u4")
                     cuts = range(0, len(whole), capacity)
                     starts.append(list(cuts))
