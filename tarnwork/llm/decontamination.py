@@ -18,35 +18,30 @@ from pyspark.sql import functions as F
 from . import common
 from .superkmers import gram_hashes, mixed
 
-#: Length of the grams, edits for each character of an item, characters of the items in one block.
-Q, RATE, BLOCK_CHARS = 12, 0.06, 2_000_000
+#: Length of the grams, and of those for items too short for them; edits for each character of an item, characters of the items in one block.
+Q, SHORT_Q, RATE, BLOCK_CHARS = 12, 8, 0.06, 2_000_000
 FILTER_BITS = 22
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def plain(text: str | None) -> str:
-    """A-Z lower-cased, runs of white space as one space."""
-    return " ".join((text or "").translate(_LOWER).split())
+    """Case folded over all letters, runs of white space as one space."""
+    return " ".join((text or "").casefold().split())
 
 
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def grams(symbols: np.ndarray) -> np.ndarray:
-    return gram_hashes(mixed(symbols.astype(np.uint64) + np.uint64(1)), Q) if len(symbols) >= Q else np.zeros(0, np.uint64)
+def grams(symbols: np.ndarray, q: int) -> np.ndarray:
+    return gram_hashes(mixed(symbols.astype(np.uint64) + np.uint64(1)), q) if len(symbols) >= q else np.zeros(0, np.uint64)
 
 
-class Items:
-    """The q-grams of a block of items, sorted, behind a bit table of fixed size."""
+class Index:
+    """The q-grams of some of a block's items, sorted, behind a bit table of fixed size."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids, self.texts = np.array(ids, np.int64), texts
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.edits = (self.sizes * RATE).astype(np.int64)
-        self.bound = self.sizes - Q + 1 - Q * self.edits
-        own = [grams(points(t)) if b > 0 else np.zeros(0, np.uint64) for t, b in zip(texts, self.bound, strict=True)]
-        self.short = [i for i, (t, b) in enumerate(zip(texts, self.bound, strict=True)) if t and b <= 0]  # too short for a gram: found as they are
+    def __init__(self, q: int, texts: list[str], of: np.ndarray):
+        self.q = q
+        own = [grams(points(t), q) if x else np.zeros(0, np.uint64) for t, x in zip(texts, of, strict=True)]
         hashes = np.concatenate(own) if own else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(own)), [len(g) for g in own])
         place = np.concatenate([np.arange(len(g)) for g in own]) if own else item
@@ -55,18 +50,17 @@ class Items:
         self.table = np.zeros(1 << FILTER_BITS, bool)
         self.table[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def bands(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, band) that reach the bound; band k of an item covers the diagonals from k (edits + 1) on."""
+    def bands(self, symbols: list[np.ndarray], edits: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``Items.bands``, over texts as symbols."""
         none = (np.zeros(0, np.int64),) * 3
-        symbols = [points(t) for t in texts]
         sizes = np.array([len(s) for s in symbols], np.int64)
-        h = grams(np.concatenate(symbols)) if len(symbols) else none[0].astype(np.uint64)
+        h = grams(np.concatenate(symbols), self.q) if len(symbols) else none[0].astype(np.uint64)
         if not len(h) or not len(self.hashes):
             return none
         at = np.flatnonzero(self.table[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         ends = np.cumsum(sizes)
         text = np.searchsorted(ends, at, side="right")
-        inside = at + Q <= ends[text]
+        inside = at + self.q <= ends[text]
         at, text = at[inside], text[inside]
         lo, hi = np.searchsorted(self.hashes, h[at], side="left"), np.searchsorted(self.hashes, h[at], side="right")
         count = hi - lo
@@ -74,7 +68,7 @@ class Items:
         post = np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count) + lo[hit]
         item = self.item[post]
         diagonal = at[hit] - (ends - sizes)[text[hit]] - self.place[post]
-        band = diagonal // (self.edits[item] + 1)
+        band = diagonal // (edits[item] + 1)
         key = np.stack([np.tile(text[hit], 2), np.tile(item, 2), np.concatenate([band, band - 1])], axis=1)
         if not len(key):
             return none
@@ -82,9 +76,30 @@ class Items:
         key = key[order]
         new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
         shared = np.diff(np.append(new, len(key)))
-        key = key[new][shared >= self.bound[key[new, 1]]]
+        key = key[new][shared >= bound[key[new, 1]]]
         return key[:, 0], key[:, 1], key[:, 2]
 
+
+class Items:
+    """A block of items: those with an edit or more, or long enough for a gram, by their q-grams; the others as they are."""
+
+    def __init__(self, ids: list[int], texts: list[str]):
+        self.ids, self.texts = np.array(ids, np.int64), texts
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.edits = (self.sizes * RATE).astype(np.int64)
+        bounds = [self.sizes - q + 1 - q * self.edits for q in (Q, SHORT_Q)]
+        self.bound = np.where(bounds[0] > 0, bounds[0], bounds[1])
+        self.short = np.flatnonzero((bounds[0] <= 0) & (self.edits == 0) & (self.sizes > 0)).tolist()  # no edits and no gram
+        apart = (bounds[0] <= 0) & (self.edits > 0)
+        assert (self.bound[apart] > 0).all()
+        self.indexes = [Index(q, texts, of) for q, of in ((Q, bounds[0] > 0), (SHORT_Q, apart)) if of.any()]
+
+    def bands(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, band) that reach the bound; band k of an item covers the diagonals from k (edits + 1) on."""
+        symbols = [points(t) for t in texts]
+        found = [(np.zeros(0, np.int64),) * 3, *(x.bands(symbols, self.edits, self.bound) for x in self.indexes)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
     def found(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
         """(text, item id, start, edits): the best place of each item in each text; the first of equally good ones."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
@@ -162,8 +177,8 @@ def _steps(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, start, edits): each document that holds an item, with the item's best place in the plain text.
 
-    Both sides are lower-cased in A-Z and white space is one space.  Null and empty texts hold nothing, and empty items are
-    held by nothing.  An item too short to share a gram within its edits is found as it is.  Repeated rows are repeated.
+    Case is folded on both sides and white space is one space.  Null and empty texts hold nothing, and empty items are held
+    by nothing.  An item too short for an edit is found as it is.  Repeated rows are repeated.
     """
     spark, out = docs.sparkSession, None
     kept = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"))
