@@ -61,6 +61,21 @@ def steps(texts: list[bytes], most: int = STEP_BYTES) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` without null ids, and what makes those ids null again.
+
+    Each row without an id is a document of its own, after all others; such rows follow each other by their contents.
+    Only those rows are materialised.
+    """
+    top, nulls = docs.agg(F.coalesce(F.max(id_col), F.lit(0)), F.count_if(F.col(id_col).isNull())).first()
+    if not nulls:
+        return docs, lambda df: df
+    lacking = docs.filter(F.col(id_col).isNull()).orderBy(*[F.xxhash64(F.col(f"`{c}`")) for c in docs.columns if c != id_col])
+    named = cut(lacking.withColumn(id_col, F.monotonically_increasing_id() + F.lit(top + 1)))
+    back = F.when(F.col(id_col) <= top, F.col(id_col))
+    return docs.filter(F.col(id_col).isNotNull()).unionByName(named), lambda df: df.withColumn(id_col, back)
+
+
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, copy, carried columns), materialised; copy: whether a smaller id has the very same bytes, by SHA-256.
 

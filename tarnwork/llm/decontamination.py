@@ -83,8 +83,8 @@ class Index:
 class Items:
     """A block of items: those with an edit or more, or long enough for a gram, by their q-grams; the others as they are."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids, self.texts = np.array(ids, np.int64), texts
+    def __init__(self, ids: list[int | None], texts: list[str]):
+        self.ids, self.texts = ids, texts
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.edits = (self.sizes * RATE).astype(np.int64)
         bounds = [self.sizes - q + 1 - q * self.edits for q in (Q, SHORT_Q)]
@@ -100,7 +100,7 @@ class Items:
         found = [(np.zeros(0, np.int64),) * 3, *(x.bands(symbols, self.edits, self.bound) for x in self.indexes)]
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def found(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
+    def found(self, texts: list[str]) -> Iterator[tuple[int, int | None, int, int]]:
         """(text, item id, start, edits): the best place of each item in each text; the first of equally good ones."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for t, i, k in zip(*(x.tolist() for x in self.bands(texts)), strict=True):
@@ -118,7 +118,7 @@ class Items:
                 if (at := text.find(self.texts[i])) >= 0:
                     best[t, i] = (0, at)
         for (t, i), (edits, start) in sorted(best.items()):
-            yield t, int(self.ids[i]), start, edits
+            yield t, self.ids[i], start, edits
 
 
 def align(item: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int] | None:

@@ -140,7 +140,7 @@ def encoded_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id:
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(2), ids, pa.array(starts, kind), pa.array(lengths, kind), pa.array(crcs, kind)], ["grp", id_col, "starts", "lengths", "crcs"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"), F.pmod(F.xxhash64(id_col), F.lit(groups)).alias("grp"))
+    chosen = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"), F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col)), F.lit(groups)).alias("grp"))
     return chosen.mapInArrow(run, f"grp long, {id_col} long, starts array<long>, lengths array<long>, crcs array<long>")
 
 
@@ -240,7 +240,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
     def place(rows: pa.Table) -> pa.Table:
         group = rows["grp"][0].as_py()
-        ids = np.repeat(rows[id_col].to_numpy(), [len(x) for x in rows["starts"].to_pylist()])
+        ids = rows[id_col].combine_chunks().take(pa.array(np.repeat(np.arange(len(rows)), [len(x) for x in rows["starts"].to_pylist()])))
         starts, lengths, crcs = (rows[c].combine_chunks().flatten().to_numpy() for c in ("starts", "lengths", "crcs"))
         part = np.flatnonzero(lengths < capacity)
         bins = local_search(best_fit(lengths[part], capacity), lengths[part], capacity)

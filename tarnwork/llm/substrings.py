@@ -84,8 +84,9 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     starts earlier, by (id, start), as judged on the input.  Null and empty texts have no words.  Of rows with one text
     the smallest id stands first, the others lose all their words if they have ``width`` or more.  Ids should be unique;
     rows that repeat an id and text are each judged as that id's first row, and rows that share an id alone are unordered.
+    Rows with a null id are a document each, after all others.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
+    docs, unnumbered = common.numbered(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col)
     classes = common.text_classes(docs, id_col, text_col)
     docs = docs.select(id_col, text_col)
     spec = Texts(width, seed, words_of)
@@ -111,4 +112,4 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
             kept_texts.append(line)
         return pa.RecordBatch.from_arrays([ids, pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests), pa.array(kept_texts, pa.binary()).cast(pa.string())], [id_col, "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return common.map_batches(joined, work, f"{id_col} long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return unnumbered(common.map_batches(joined, work, f"{id_col} long, n_words long, n_removed long, kept_sha256 string, kept string"))

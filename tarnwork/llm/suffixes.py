@@ -162,8 +162,9 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     judged on the input.  Null and empty texts have no bytes.  Of rows with one text the smallest id stands first; the
     others lose the whole text if it has ``width`` bytes or more.  Ids should be unique; rows that repeat an id and text
     are each judged as that id's first row, and rows that share an id alone are unordered.
+    Rows with a null id are a document each, after all others.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col, *carry)
+    docs, unnumbered = common.numbered(docs.select(F.col(id_col).cast("long").alias(id_col), text_col, *carry), id_col)
     classes = common.text_classes(docs, id_col, text_col, carry)
     docs, kinds = docs.select(id_col, text_col), {f.name: f.dataType.simpleString() for f in docs.schema}
     ranges = repeated_windows(docs, classes.filter("not copy").select(id_col), id_col, text_col, Texts(width, seed, bytes_of), common_windows(width))
@@ -188,4 +189,4 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.int64()) for x in (sizes, removed, spans)], pa.array(digests), pa.array(rest, pa.binary()), *[batch.column(c) for c in carry]], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *carry])
 
     more = "".join(f", `{c}` {kinds[c]}" for c in carry)
-    return common.map_batches(joined, work, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary{more}")
+    return unnumbered(common.map_batches(joined, work, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary{more}"))
