@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,23 +41,26 @@ def neighbourhood(edge: DataFrame, focus: DataFrame) -> DataFrame:
     return focus.select("id").union(both.join(focus.select("id"), "id", "left_semi").select("other")).distinct()
 
 
-def reach(spark, edge: DataFrame, most: int = 16) -> DataFrame:
-    """[J16] (src, dst, depth): shortest depth of each pair by joins of the frontier, until it is empty or ``most`` deep."""
-    known = edge.select("src", "dst").distinct().withColumn("depth", F.lit(1))
-    frontier = known
-    step = edge.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct()
+def reach(spark, edge: DataFrame, most: int | None = None) -> DataFrame:
+    """[J16] (src, dst, depth): shortest depth of each pair by joins of the frontier, until it is empty or ``most`` deep.
+
+    Each round is materialised, as a plan of any number of rounds would be planned anew in each.
+    """
     keep = spark.sparkContext.getCheckpointDir() is not None
-    for d in range(2, most + 1):
+    store = lambda df: df.checkpoint() if keep else df.localCheckpoint()
+    known = store(edge.select("src", "dst").distinct().withColumn("depth", F.lit(1)))
+    frontier = known
+    step = store(edge.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct())
+    for d in count(2) if most is None else range(2, most + 1):
         further = frontier.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
-        frontier = further.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(d))
-        frontier = frontier.checkpoint() if keep else frontier
+        frontier = store(further.subtract(known.select("src", "dst")).withColumn("depth", F.lit(d)))  # null-safe, so that it ends
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
     return known
 
 
-def cyclic(spark, edge: DataFrame, most: int = 16) -> DataFrame:
+def cyclic(spark, edge: DataFrame, most: int | None = None) -> DataFrame:
     """[J16] (id, length): nodes on a cycle."""
     return reach(spark, edge, most).filter("src = dst").select(F.col("src").alias("id"), F.col("depth").alias("length"))
 

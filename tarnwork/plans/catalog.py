@@ -338,7 +338,7 @@ def symmetry_check(spark, d):
 def reachability_cycle(spark, d):
     n = table(spark, d, "nation")
     e = n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("dst")).union(n.filter("n_nationkey % 2 = 0").select("n_nationkey", (F.col("n_nationkey") + 5) % 25)).distinct()
-    return G.cyclic(spark, e)
+    return G.cyclic(spark, e, 16)  # as deep as the SQL
 
 
 @query("""WITH e AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem), f AS (SELECT DISTINCT 'o' || o_orderkey AS id FROM orders WHERE o_orderkey % 500 = 1)
