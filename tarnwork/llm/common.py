@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from inspect import signature
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,11 +32,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def of_group(work: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """``work`` of a group, for ``applyInArrow``; what it held goes back to the system."""
+    if len(signature(work).parameters) == 2:
+
+        def two(a: pa.Table, b: pa.Table) -> pa.Table:
+            made = work(a, b)
+            del a, b
+            give_back()
+            return made
+
+        return two
+
+    def one(rows: pa.Table) -> pa.Table:
+        made = work(rows)
+        del rows
+        give_back()
+        return made
+
+    return one
+
+
 def utf8(column: str) -> Column:
     """A text column as its UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))
 
 
+@lru_cache(1)
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker stays for the next stage, and what it keeps adds up over stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch; Spark bounds a batch by rows and by bytes."""
 
@@ -45,6 +81,8 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Reco
                     yield made
                 elif made is not None:
                     yield from made
+                del batch, made
+                give_back()
 
     return df.mapInArrow(run, schema)
 
