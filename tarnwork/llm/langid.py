@@ -140,8 +140,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     known = docs.select(id_col, label_col).filter(~held_out(id_col) & F.col(label_col).isNotNull())
     ids = sample(known, id_col, FIT_DOCS)
-    label = {r[0]: r[1] for r in known.join(F.broadcast(ids), id_col, "left_semi").distinct().limit(2 * FIT_DOCS).collect()}
-    rows = sorted(texts_of(docs, ids, id_col, text_col, FIT_DOCS), key=lambda r: r.id)
+    label = {r[0]: r[1] for r in known.join(F.broadcast(ids), id_col, "left_semi").groupBy(id_col).agg(F.min(label_col)).collect()}
+    rows = sorted(texts_of(docs, ids, id_col, text_col), key=lambda r: r.id)
     model, names = fit([bytes(r.t) for r in rows], [label[r.id] for r in rows]) if rows else ({}, [])
     gather = tables(model) if rows else []
 

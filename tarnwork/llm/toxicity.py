@@ -1,9 +1,10 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters as a word embedding and as the mean embedding of its character n-grams, both by hashed row, so no word list
-is kept.  The network reads windows of ``WINDOW`` words that overlap by half; all windows of a text are scored, and the
-text's score is that of its worst window.  Labels are of whole texts, so training picks each text's witness windows: first
-by the log-odds of its features, then by the network itself.
+is kept.  Embeddings start from what the frequencies of rows under the two labels tell beyond chance; rows of few texts
+stay zero.  The network reads windows of ``WINDOW`` words that overlap by half; all windows of a text are scored, and the
+text's score comes from its worst window and from the mean odds of all.  Labels are of whole texts, so training picks each
+text's witness windows: first by the frequencies of its features, then by the network itself.
 """
 
 from __future__ import annotations
@@ -21,13 +22,20 @@ from .substrings import words_of
 from .superkmers import mixed
 from .training import Adam, held_out, sample, texts_of
 
-WINDOW, STRIDE, WORD_ROWS, CHAR_ROWS, EMBED, HIDDEN, ATTEND = 16, 8, 1 << 13, 1 << 13, 8, 8, 8
-GRAMS = (3, 5)
-#: Documents of each label that the network is fitted on, at most, and windows of each in an epoch.
-FIT_DOCS, NEGATIVES, BATCH = 1000, 3, 64
+WINDOW, STRIDE, WORD_ROWS, CHAR_ROWS, EMBED, HIDDEN, ATTEND = 16, 8, 1 << 16, 1 << 16, 8, 8, 8
+GRAMS = (3, 5, 7)
+#: Documents of label 1 and of label 0 that the network is fitted on, at most, and windows of each of the latter in an epoch.
+FIT_DOCS, FIT_CLEAN, NEGATIVES, BATCH = 1000, 1500, 3, 64
+#: Rows that fewer fitted documents hold stay zero, as rows do that none holds: a word of one text tells nothing of others.
+#: A first embedding is by how many standard errors beyond ``CHANCE`` a row is more frequent under one label.
+LEAST_DOCS, CHANCE = 5, 3.0
+#: Share of words that a step hides the embedding of, so that their n-grams are learned too, and decay of touched rows.
+HIDE, DECAY = 0.5, 0.002
 #: In each of the two phases: passes, and steps at least, so that a small sample is learned as well.
-PHASES = ((3, 100), (4, 150))
+PHASES = ((1, 30), (1, 30))
 THRESHOLD = 0.7
+#: Logits are held within this; one window in so many of a text with label 1 is a witness.
+LIMIT, SHARE = 12.0, 8
 
 
 class Words:
@@ -55,12 +63,22 @@ class Words:
     def _rows(texts: list[bytes], before: int) -> tuple:
         """Of one step: rows of words and of their n-grams, where the words lie in its bytes, and their texts."""
         hashes, docs, buffer, begins, ends = words_of([t.translate(WORDS) for t in texts])
-        data = np.frombuffer(b" " * 4 + buffer + b" " * 4, np.uint8).astype(np.uint64) + np.uint64(1)
-        n, grams = len(buffer), []
+        n, grams, reach = len(buffer), [], max(GRAMS) // 2
+        data = np.zeros(n + 2 * reach, np.uint64)  # 0: beyond the space before or after the word
+        data[reach : n + reach] = np.frombuffer(buffer, np.uint8)
+        left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        left[begins], right[begins] = begins, ends
+        left = np.arange(n) - np.maximum.accumulate(left) + 1  # from the space before the word, to the one after it
+        right = np.maximum.accumulate(right) - np.arange(n)
         for size in GRAMS:
-            h = np.zeros(n, np.uint64)
-            for j in range(size):
-                h = h * np.uint64(0x100000001B3) + data[4 - size // 2 + j : 4 - size // 2 + j + n]
+            h = np.full(n, size, np.uint64)
+            for j in range(-(size // 2), size // 2 + 1):
+                symbol = data[reach + j : reach + j + n]
+                if j < -1:
+                    symbol = np.where(left >= -j, symbol, 0)
+                elif j > 1:
+                    symbol = np.where(right >= j, symbol, 0)
+                h = h * np.uint64(0x100000001B3) + symbol
             grams.append((mixed(h) % np.uint64(CHAR_ROWS)).astype(np.int32))
         return (hashes % np.uint64(WORD_ROWS)).astype(np.int32), grams, begins, ends - begins, n, docs + before
 
@@ -91,7 +109,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def start_model(rng: np.random.Generator) -> dict[str, np.ndarray]:
-    model = {"word": rng.normal(0, 0.1, (WORD_ROWS, EMBED)), "char": rng.normal(0, 0.3, (CHAR_ROWS, EMBED))}
+    model = {"word": rng.normal(0, 0.05, (WORD_ROWS, EMBED)), "char": rng.normal(0, 0.05, (CHAR_ROWS, EMBED))}
     for d in "fb":
         model[f"in_{d}"] = rng.normal(0, 0.4, (2 * EMBED, 3 * HIDDEN))
         model[f"back_{d}"] = rng.normal(0, 0.3, (HIDDEN, 3 * HIDDEN))
@@ -146,20 +164,20 @@ def read(model: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray) -> tuple
     return pooled @ model["out"] + model["shift"], (states, inner, weight, pooled, kf, kb)
 
 
-def step(model: dict[str, np.ndarray], words: Words, chosen: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+def step(model: dict[str, np.ndarray], words: Words, chosen: np.ndarray, y: np.ndarray, rng: np.random.Generator, known: dict[str, np.ndarray]) -> dict:
     """Gradients of the cross-entropy of the chosen windows."""
     at = words.windows[chosen]
     real = at >= 0
     used, inverse = np.unique(np.maximum(at, 0), return_inverse=True)
     inverse = inverse.reshape(at.shape)
-    spans = [np.arange(b, b + n) for b, n in zip(words.begins[used].tolist(), words.sizes[used].tolist(), strict=True)]
-    owner = np.repeat(np.arange(len(used)), words.sizes[used])
-    places = np.concatenate(spans)
-    share = words.share()[used]
-    chars = np.zeros((len(used), EMBED))
-    for g in words.grams:
-        np.add.at(chars, owner, model["char"][g[places]])
-    inputs = np.concatenate([model["word"][words.word[used]], chars * share[:, None]], axis=1)
+    sizes = words.sizes[used]
+    owner = np.repeat(np.arange(len(used)), sizes)
+    first = np.cumsum(sizes) - sizes
+    places = np.arange(len(owner)) + np.repeat(words.begins[used] - first, sizes)
+    share = 1 / (len(GRAMS) * sizes)
+    chars = sum(np.add.reduceat(model["char"][g[places]], first, axis=0) for g in words.grams)
+    shown = (rng.random(len(used)) >= HIDE)[:, None] / (1 - HIDE)
+    inputs = np.concatenate([model["word"][words.word[used]] * shown, chars * share[:, None]], axis=1)
     x = inputs[inverse] * real[:, :, None]
     logit, (states, inner, weight, pooled, kf, kb) = read(model, x, real)
     d_logit = (sigmoid(logit) - y) / len(y)
@@ -183,14 +201,23 @@ def step(model: dict[str, np.ndarray], words: Words, chosen: np.ndarray, y: np.n
     d_x *= real[:, :, None]
     d_inputs = np.zeros_like(inputs)
     np.add.at(d_inputs, inverse.ravel(), d_x.reshape(-1, 2 * EMBED))
-    out["word"], out["char"] = np.zeros_like(model["word"]), np.zeros_like(model["char"])
-    np.add.at(out["word"], words.word[used], d_inputs[:, :EMBED])
+    out["word"] = _rows(words.word[used], d_inputs[:, :EMBED] * shown, known["word"])
     d_chars = (d_inputs[:, EMBED:] * share[:, None])[owner]
-    for g in words.grams:
-        np.add.at(out["char"], g[places], d_chars)
+    out["char"] = _rows(np.concatenate([g[places] for g in words.grams]), np.tile(d_chars, (len(words.grams), 1)), known["char"])
     return out
 
 
+def _rows(rows: np.ndarray, gradients: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The known rows that a step touches, each once, and their gradients."""
+    held = np.flatnonzero(known[rows])
+    rows, gradients = rows[held], gradients[held]
+    if not len(rows):
+        return rows, gradients
+    order = np.argsort(rows, kind="stable")
+    own, begin = np.unique(rows[order], return_index=True)
+    return own, np.add.reduceat(gradients[order], begin, axis=0)
+
+
 def window_logits(model: dict[str, np.ndarray], words: Words, size: int = 2048) -> np.ndarray:
     """Logits of all windows.  Words are projected once, however many windows hold them."""
     out = np.zeros(len(words.windows))
@@ -219,77 +246,112 @@ def window_logits(model: dict[str, np.ndarray], words: Words, size: int = 2048)
     return out
 
 
-def most(values: np.ndarray, words: Words, empty: float) -> np.ndarray:
-    """The largest value among the windows of each text; ``empty`` for a text without words."""
-    out = np.full(len(words.per_text), empty)
+def pooled(values: np.ndarray, words: Words) -> np.ndarray:
+    """(text, 2): of the logits of each text's windows the largest, and the logarithm of their mean odds.
+
+    The second tells a text that is toxic all over from a long one with a window that only looks so.  A text without
+    words has the least of both.
+    """
+    out = np.full((len(words.per_text), 2), -LIMIT)
     some = words.per_text > 0
     if some.any():
-        out[some] = np.maximum.reduceat(values, (np.cumsum(words.per_text) - words.per_text)[some])
+        values = np.clip(values, -LIMIT, LIMIT)
+        first = (np.cumsum(words.per_text) - words.per_text)[some]
+        out[some, 0] = np.maximum.reduceat(values, first)
+        out[some, 1] = np.log(np.add.reduceat(np.exp(values.astype(np.float64)), first) / words.per_text[some])
     return out
 
 
-def log_odds(words: Words, y: np.ndarray) -> np.ndarray:
-    """A first guess for each window: the largest log-odds of its words' rows, by the texts that hold them."""
+def head(found: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the two pooled logits and a constant: logistic regression, both labels of equal weight, drawn to (0.5, 0.5)."""
+    x, prior = np.column_stack([found, np.ones(len(found))]), np.array([0.5, 0.5, 0.0])
+    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    pull, w = np.array([1.0, 1.0, 0.01]), prior.copy()
+    for _ in range(50):
+        p = sigmoid(x @ w)
+        gradient = x.T @ (weight * (p - y)) + pull * (w - prior)
+        curve = (x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(pull)
+        change = np.linalg.solve(curve, gradient)
+        w -= change * min(1.0, 2 / max(1e-9, np.abs(change).max()))
+    return w
+
+
+def first_guess(words: Words, y: np.ndarray) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """For each window the most telling row of its words: by how many standard errors it is more frequent under label 1.
+
+    And the first embeddings of the rows: what their frequencies tell beyond chance; none where few documents hold a row.
+    """
     counts = [np.zeros((2, size)) for size in (WORD_ROWS, CHAR_ROWS)]
 
-    def places(a: int, b: int, lo: int) -> np.ndarray:
-        return np.arange(int(words.sizes[a:b].sum())) + np.repeat(words.begins[a:b] - (np.cumsum(words.sizes[a:b]) - words.sizes[a:b]), words.sizes[a:b])
+    def places(a: int, b: int) -> np.ndarray:
+        sizes = words.sizes[a:b]
+        return np.arange(int(sizes.sum())) + np.repeat(words.begins[a:b] - (np.cumsum(sizes) - sizes), sizes)
 
-    for a, b, lo, _ in words.parts():
-        at, owner = places(a, b, lo), np.repeat(words.text[a:b], words.sizes[a:b])
+    for a, b, *_ in words.parts():
+        at, owner = places(a, b), np.repeat(words.text[a:b], words.sizes[a:b])
         for count, texts, rows in ((counts[0], words.text[a:b], [words.word[a:b]]), (counts[1], owner, [g[at] for g in words.grams])):
             size = count.shape[1]
             pairs = np.unique(np.concatenate([texts * size + r for r in rows]))
             np.add.at(count, (y[pairs // size], pairs % size), 1)
-    of_word, of_gram = (np.log((c[1] + 0.1) / (y.sum() + 1)) - np.log((c[0] + 0.5) / ((1 - y).sum() + 1)) for c in counts)
+    bad, fine = max(1, y.sum()), max(1, (1 - y).sum())
+    of_word, of_gram = ((c[1] / bad - c[0] / fine) / np.sqrt((c.sum(axis=0) + 1) / (bad + fine) * (1 / bad + 1 / fine)) for c in counts)
     value = of_word[words.word]
-    for a, b, lo, _ in words.parts():
-        at = places(a, b, lo)
+    for a, b, *_ in words.parts():
+        at = places(a, b)
         first = np.cumsum(words.sizes[a:b]) - words.sizes[a:b]
         for g in words.grams:
             value[a:b] = np.maximum(value[a:b], np.maximum.reduceat(of_gram[g[at]], first))
-    return np.append(value, -99.0)[words.windows].max(axis=1)
+    return np.append(value, -99.0)[words.windows].max(axis=1), {k: (c.sum(axis=0) >= LEAST_DOCS, np.sign(z) * np.maximum(np.abs(z) - CHANCE, 0) / CHANCE) for k, c, z in zip(("word", "char"), counts, (of_word, of_gram), strict=True)}
 
 
 def fit(texts: list[bytes], labels: list[int], seed: int = 11) -> dict[str, np.ndarray]:
+    """The network, fitted on four texts of five; the fifth, which it has not seen, tells how its logits make a score."""
+    y = np.array(labels)
+    turn = np.empty(len(y), np.int64)
+    for k in (0, 1):
+        turn[y == k] = np.arange((y == k).sum())
+    apart = (turn % 5 == 4) if min((y == 0).sum(), (y == 1).sum()) >= 10 else np.zeros(len(y), bool)
+    model = network([t for t, x in zip(texts, apart.tolist(), strict=True) if not x], y[~apart], seed)
+    judged = Words([t for t, x in zip(texts, apart.tolist(), strict=True) if x or not apart.any()])
+    model["head"] = head(pooled(window_logits(model, judged), judged), y[apart] if apart.any() else y)
+    return model
+
+
+def network(texts: list[bytes], y: np.ndarray, seed: int) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    y, words = np.array(labels), Words(texts)
-    model = start_model(rng)
-    if not len(words.windows):
-        return {k: v.astype(np.float32) for k, v in model.items()}
-    guess, adam = log_odds(words, y), Adam(model, {}, 0.01)
-    first = np.cumsum(words.per_text) - words.per_text
-    toxic = y[words.of] == 1
-    for passes, least in PHASES:
-        order = np.lexsort((-guess, words.of))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        rank -= first[words.of]
-        witnesses = np.flatnonzero(rank < np.where(toxic, 1, NEGATIVES))
-        bad, fine = witnesses[toxic[witnesses]], witnesses[~toxic[witnesses]]
-        bad = np.repeat(bad, max(1, len(fine) // (2 * max(1, len(bad)))))
-        for _ in range(max(passes, -(-least * BATCH // (len(bad) + 2 * len(fine) + 1)))):
-            others = rng.choice(np.flatnonzero(~toxic), min(int((~toxic).sum()), len(fine)), replace=False)
-            chosen = rng.permutation(np.concatenate([bad, fine, others]))
-            for a in range(0, len(chosen), BATCH):
-                some = chosen[a : a + BATCH]
-                adam.update(step(model, words, some, y[words.of[some]]))
-        guess = window_logits({k: v.astype(np.float32) for k, v in model.items()}, words)
-    # the logit that parts the texts best becomes the threshold
-    top = most(guess, words, -30.0)
-    order = np.argsort(-top)
-    right = np.cumsum(np.where(y[order] == 1, 1, -3))  # a clean text rejected is worse than a toxic one kept
-    cut = int(right.argmax())
-    line = (top[order[cut]] + top[order[min(cut + 1, len(order) - 1)]]) / 2
-    model["shift"] += np.log(THRESHOLD / (1 - THRESHOLD)) - line
+    words, model = Words(texts), start_model(rng)
+    if len(words.windows):
+        (guess, told), adam = first_guess(words, y), Adam(model, {}, 0.01)
+        known = {k: rows for k, (rows, _) in told.items()}
+        for k, (rows, value) in told.items():
+            model[k][:, 0] += value
+            model[k][~rows] = 0
+        first = np.cumsum(words.per_text) - words.per_text
+        toxic = y[words.of] == 1
+        for phase, (passes, least) in enumerate(PHASES):
+            if phase:
+                guess = window_logits({k: v.astype(np.float32) for k, v in model.items()}, words)
+            order = np.lexsort((-guess, words.of))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            rank -= first[words.of]
+            witnesses = np.flatnonzero(rank < np.where(toxic, np.maximum(1, words.per_text[words.of] // SHARE), NEGATIVES))
+            bad, fine = witnesses[toxic[witnesses]], witnesses[~toxic[witnesses]]
+            bad = np.repeat(bad, max(1, len(fine) // (2 * max(1, len(bad)))))
+            for _ in range(max(passes, -(-least * BATCH // (len(bad) + 2 * len(fine) + 1)))):
+                others = rng.choice(np.flatnonzero(~toxic), min(int((~toxic).sum()), len(fine)), replace=False)
+                chosen = rng.permutation(np.concatenate([bad, fine, others]))
+                for a in range(0, len(chosen), BATCH):
+                    some = chosen[a : a + BATCH]
+                    adam.update(step(model, words, some, y[words.of[some]], rng, known), DECAY)
     return {k: v.astype(np.float32) for k, v in model.items()}
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> dict[str, np.ndarray] | None:
     known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    label = {r[0]: k for k in (0, 1) for r in sample(known.filter(F.col("y") == k), id_col, FIT_DOCS).collect()}
+    label = {r[0]: k for k, n in ((0, FIT_CLEAN), (1, FIT_DOCS)) for r in sample(known.filter(F.col("y") == k), id_col, n).collect()}
     ids = docs.sparkSession.createDataFrame([(i,) for i in label], f"{id_col} long")
-    rows = sorted(texts_of(docs, ids, id_col, text_col, 2 * FIT_DOCS), key=lambda r: (label[r.id], r.id))
+    rows = sorted(texts_of(docs, ids, id_col, text_col), key=lambda r: (label[r.id], r.id))
     return fit([bytes(r.t) for r in rows], [label[r.id] for r in rows]) if {label[r.id] for r in rows} == {0, 1} else None
 
 
@@ -297,7 +359,7 @@ def scores(model: dict[str, np.ndarray] | None, texts: list[bytes]) -> np.ndarra
     if model is None:
         return np.zeros(len(texts))
     words = Words(texts)
-    found = sigmoid(most(window_logits(model, words), words, -30.0).astype(np.float64))
+    found = sigmoid(pooled(window_logits(model, words), words) @ model["head"][:2] + model["head"][2])
     found[words.per_text == 0] = 0
     return found
 
@@ -317,7 +379,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(id, held_out, score, predicted) of every row.
 
-    Learns from up to ``FIT_DOCS`` labelled rows of either label that are not held out; ids, labels, languages and sources
+    Learns from up to ``FIT_DOCS`` rows with label 1 and ``FIT_CLEAN`` with label 0 that are not held out; ids, labels, languages and sources
     are no input of a score.  A null text or one without words has score 0; so has every text if only one label is known.
     """
     model = fitted(docs, labels, id_col, text_col, label_col)

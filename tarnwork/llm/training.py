@@ -13,12 +13,19 @@ class Adam:
         self.m = {k: np.zeros_like(v) for k, v in values.items()}
         self.v = {k: np.zeros_like(v) for k, v in values.items()}
 
-    def update(self, gradients: dict[str, np.ndarray]) -> None:
+    def update(self, gradients: dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]], decay: float = 0.0) -> None:
+        """A gradient of a table can be (rows, their gradients): then only those rows change, and decay."""
         self.step += 1
         for k, g in gradients.items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.001 * (g * g - self.v[k])
-            self.values[k] -= self.rates[k] * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.999**self.step)) + 1e-8)
+            at, g = g if isinstance(g, tuple) else (slice(None), g)
+            m, v = self.m[k][at], self.v[k][at]
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            self.m[k][at], self.v[k][at] = m, v
+            change = (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)
+            if decay and not isinstance(at, slice):
+                change = change + decay / self.rates[k] * self.values[k][at]
+            self.values[k][at] -= self.rates[k] * change
 
 
 def held_out(id_col: str) -> Column:
@@ -31,7 +38,7 @@ def sample(ids: DataFrame, id_col: str, most: int) -> DataFrame:
     return ids.select(id_col).distinct().orderBy(F.xxhash64(F.lit("fit"), id_col), id_col).limit(most)
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, most: int) -> list:
-    """(id, t) of at most ``most`` rows with one of ``most`` ids at the most, by a broadcast of those ids."""
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list:
+    """(id, t) of the rows with one of the bounded number of ``ids``, by a broadcast of those; of a repeated id the least text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).filter(F.col("t").isNotNull())
-    return rows.join(F.broadcast(ids.select(F.col(id_col).alias("id"))), "id", "left_semi").limit(most).collect()
+    return rows.join(F.broadcast(ids.select(F.col(id_col).alias("id"))), "id", "left_semi").groupBy("id").agg(F.min("t").alias("t")).collect()

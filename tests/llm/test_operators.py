@@ -274,11 +274,13 @@ def test_toxicity(spark):
     got = {r.doc_id: r for r in toxicity.score(docs.drop("toxic"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     held = [(got[i].predicted, y) for i, y in labels if got[i].held_out]
     assert np.mean([p == y for p, y in held]) > 0.85
+    assert np.mean([p for p, y in held if y]) >= 0.9
     assert [got[i].score for i in (1000, 1001, 1002)] == [0, 0, 0]
     assert all(got[i].predicted == int(got[i].score >= 0.7) for i in got)
 
 
-def test_toxicity_gradient():
+def test_toxicity_gradient(monkeypatch):
+    monkeypatch.setattr(toxicity, "HIDE", 0)
     rng = np.random.default_rng(1)
     words = toxicity.Words([b"one two three four five six seven", b"alpha beta gamma delta epsilon zeta eta theta iota kappa la mu nu xi omi pi rho sig"])
     model = {k: v.astype(float) for k, v in toxicity.start_model(rng).items()}
@@ -288,7 +290,12 @@ def test_toxicity_gradient():
         z = toxicity.window_logits(model, words)[chosen]
         return np.mean(np.log1p(np.exp(z)) - y * z)
 
-    g = toxicity.step(model, words, chosen, y)
+    known = {"word": np.ones(toxicity.WORD_ROWS, bool), "char": np.ones(toxicity.CHAR_ROWS, bool)}
+    g = toxicity.step(model, words, chosen, y, rng, known)
+    for name in ("word", "char"):
+        whole = np.zeros_like(model[name])
+        whole[g[name][0]] = g[name][1]
+        g[name] = whole
     for name, at in (("out", (3,)), ("attend", (5, 2)), ("query", (1,)), ("in_f", (4, 7)), ("in_b", (2, 18)), ("back_f", (3, 20)), ("back_b", (1, 4)), ("word", (int(words.word[2]), 3)), ("char", (int(words.grams[0][1]), 2))):
         old, eps = model[name][at], 1e-3
         model[name][at] = old + eps
@@ -299,6 +306,41 @@ def test_toxicity_gradient():
         assert abs((up - down) / (2 * eps) - g[name][at]) < 1e-4 + 0.05 * abs(g[name][at]), name
 
 
+def test_toxicity_windows_by_a_plain_loop():
+    """Scores of all windows, and how they make a text's score, word by word and step by step."""
+    rng = np.random.default_rng(2)
+    texts = [b"", b"one two", " ".join(f"wörd{i}" for i in range(45)).encode(), b"alpha beta gamma " * 9]
+    model = {k: v.astype(np.float32) for k, v in toxicity.start_model(rng).items()} | {"head": np.array([0.4, 0.7, -0.2])}
+    words = toxicity.Words(texts)
+    size, sig = toxicity.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+
+    def states(xs, d):
+        h, out = np.zeros(size), []
+        for x in xs:
+            a, g = x @ model[f"in_{d}"] + model[f"bias_{d}"], h @ model[f"back_{d}"]
+            z, r = sig(a[:size] + g[:size]), sig(a[size : 2 * size] + g[size : 2 * size])
+            new = np.tanh(a[2 * size :] + r * g[2 * size :])
+            h = z * h + (1 - z) * new
+            out.append(h)
+        return out
+
+    for text, raw in enumerate(texts):
+        own = np.flatnonzero(words.text == text)
+        assert len(own) == len(raw.split())
+        rows = [np.concatenate([model["word"][words.word[w]], np.mean([model["char"][g[p]] for g in words.grams for p in range(words.begins[w], words.begins[w] + words.sizes[w])], axis=0)]) for w in own]
+        starts = sorted({min(s, max(0, len(own) - toxicity.WINDOW)) for s in range(0, max(1, len(own) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)}) if len(own) else []
+        logits = []
+        for s in starts:
+            xs = rows[s : s + toxicity.WINDOW]
+            pad = toxicity.WINDOW - len(xs)
+            xs = [*xs, *[np.zeros(2 * toxicity.EMBED)] * pad]
+            both = [np.concatenate([f, b]) for f, b in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)][: toxicity.WINDOW - pad]
+            weight = np.exp([np.tanh(h @ model["attend"]) @ model["query"] for h in both])
+            logits.append((weight / weight.sum()) @ np.array(both) @ model["out"] + model["shift"][0])
+        want = 0 if not logits else sig(0.4 * max(logits) + 0.7 * np.log(np.mean(np.exp(logits))) - 0.2)
+        assert abs(toxicity.scores(model, texts)[text] - want) < 1e-4
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
