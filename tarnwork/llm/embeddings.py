@@ -67,7 +67,7 @@ def candidates(reps: DataFrame, cosine: float) -> DataFrame:
                         out[at : at + len(own)] = [(*r, v) for r, v in zip(out[at : at + len(own)], rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["label", "block", "gx", "gy", "guest", "id", "part"])
 
-    numbered = reps.select(F.col("label").cast("long").alias("label"), "v", F.col("rep").alias("id"))
+    numbered = reps.select(F.xxhash64("label").alias("label"), "v", F.col("rep").alias("id"))  # labels of any type; told apart below
     dealt = numbered.mapInArrow(spread, "label long, block long, gx long, gy long, guest boolean, id long, part binary")
     keys = ["label", "block", "gx", "gy"]
     # a cell with more than a tile of residents is dealt out by residents; its guests go to every part
@@ -101,9 +101,12 @@ def candidates(reps: DataFrame, cosine: float) -> DataFrame:
             held = held.slice(bounds[-1])
 
     pairs = ready.mapInArrow(join, "a long, b long").distinct()
-    left, right = (reps.select(F.col("rep").alias(c), F.col("v").alias(f"v{c}")) for c in "ab")
+    # squares of very large or small components leave the range of doubles; a power of two changes no digit
+    largest = F.array_max(F.transform("v", F.abs))
+    scaled = F.when(largest.between(1e-100, 1e100), F.col("v")).otherwise(F.transform("v", lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2(largest)))))
+    left, right = (reps.select(F.col("rep").alias(c), F.col("label").alias(f"label_{c}"), scaled.alias(f"v{c}")) for c in "ab")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    checked = pairs.join(left, "a").join(right, "b").withColumn("cosine", dot("va", "vb") / (F.sqrt(dot("va", "va")) * F.sqrt(dot("vb", "vb"))))
+    checked = pairs.join(left, "a").join(right, "b").filter("label_a = label_b").withColumn("cosine", dot("va", "vb") / (F.sqrt(dot("va", "va")) * F.sqrt(dot("vb", "vb"))))
     return checked.filter(F.col("cosine") >= cosine).select("a", "b", "cosine")
 
 
