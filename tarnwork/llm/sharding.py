@@ -47,8 +47,8 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
     return common.cut(reduce(DataFrame.unionByName, leaves))
 
 
-def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
-    """(id, n_bytes, depth, shard, page, shard_bytes, shard_rows) of every row.
+def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None, row_as: str | None = None) -> DataFrame:
+    """(id, n_bytes, depth, shard, page, shard_bytes, shard_rows) of every row, with the row itself as ``row_as`` if asked for.
 
     ``shard`` is the leaf's bits as text (empty for the whole table).  Null and empty texts have no bytes, and rows of one
     key stay together.  Where a key cannot be split, because its rows alone exceed the limit, they are dealt to numbered
@@ -56,20 +56,22 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
     placed as it is.  ``page`` is 0 in all other shards.  Repeated rows are placed as often as they come in; an empty
     table has no shards.
     """
-    rows = docs.select(F.col(id_col).alias(id_col), hash_of(F.col(key_col or id_col)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    more = [F.struct("*").alias(row_as)] if row_as else []
+    rows = docs.select(*more, F.monotonically_increasing_id().alias("_turn"), F.col(id_col).alias(id_col), hash_of(F.col(key_col or id_col)).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     leaves = directory(rows.select("h", F.col("n_bytes").alias("bytes")), limit)
     depths = [r[0] for r in leaves.select("depth").distinct().collect()]  # 33 numbers at most
     if not depths:
         depths = [0]
     # each row looks its leaf up under its prefix of every depth that has leaves; it finds one
     tries = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("h", BITS - d).alias("bits")) for d in sorted(depths)]))
-    found = rows.select(id_col, "n_bytes", tries.alias("c")).select(id_col, "n_bytes", "c.depth", "c.bits").join(leaves, ["depth", "bits"])
+    found = rows.select(*rows.columns, tries.alias("c")).select(*[c for c in rows.columns if c != "h"], "c.depth", "c.bits").join(leaves, ["depth", "bits"])
     pages = F.ceil(2 * F.col("shard_bytes") / F.lit(limit)).cast("long")
-    page = F.when(F.col("shard_bytes") > limit, F.pmod(F.xxhash64(id_col, "n_bytes", F.monotonically_increasing_id()), pages)).otherwise(F.lit(0).cast("long"))
+    page = F.when(F.col("shard_bytes") > limit, F.pmod(F.xxhash64(id_col, "n_bytes", "_turn"), pages)).otherwise(F.lit(0).cast("long"))
     name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(bits), depth, '0')"))
-    return found.select(id_col, "n_bytes", "depth", name.alias("shard"), page.alias("page"), "shard_bytes", "shard_rows")
+    return found.select(*([row_as] if row_as else []), id_col, "n_bytes", "depth", name.alias("shard"), page.alias("page"), "shard_bytes", "shard_rows")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write ``docs`` as one folder a shard and page, a task for each."""
-    docs.join(placed.select(id_col, "shard", "page").distinct(), id_col).repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+def write_shards(docs: DataFrame, limit: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write every row of ``docs`` once, as one folder a shard and page, a task for each; ``shard`` and ``page`` are new columns."""
+    placed = shard(docs, limit, id_col, text_col, row_as="_row").select("_row.*", F.col("shard").alias("_shard"), F.col("page").alias("_page"))
+    placed.repartition("_shard", "_page").withColumnsRenamed({"_shard": "shard", "_page": "page"}).write.partitionBy("shard", "page").parquet(path)
