@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash import LOWER
 from .superkmers import SPREAD
 
+#: Bytes with A-Z in lower case.
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Documents of the sample, and the most shingles that it tells to be frequent.
 SAMPLE, FREQUENT = 8_000, 500_000
 #: Documents at one shingle beyond this number are split into blocks, and each pair of blocks is a unit of its own.
@@ -113,7 +114,7 @@ def candidates(reps: DataFrame, least: Fraction) -> DataFrame:
         return pa.table({"h": h[keep], "id": i[keep], "n": n[keep].astype(np.int64), "place": p[keep].astype(np.int64)})
 
     packed = common.map_batches(reps.select("_id", "n", "prefix"), spread, "bucket int, h binary, id binary, n binary, place binary")
-    rows = common.cut(packed.groupBy("bucket").applyInArrow(again, "h long, id long, n long, place long"))
+    rows = common.cut(packed.groupBy("bucket").applyInArrow(common.of_group(again), "h long, id long, n long, place long"))
     known = rows.groupBy("h").count().select("h", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     dealt = rows.join(known, "h").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own", "id", "n", "place")
@@ -173,7 +174,7 @@ def links(texts: DataFrame, pairs: DataFrame, shingle: int, least: Fraction) ->
         keep = [near(shingle_set(x, shingle), shingle_set(y, shingle)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    few = known.filter("part is not null").groupBy("part").cogroup(dealt.filter("bucket is not null").groupBy("bucket")).applyInArrow(together, "a long, b long")
+    few = known.filter("part is not null").groupBy("part").cogroup(dealt.filter("bucket is not null").groupBy("bucket")).applyInArrow(common.of_group(together), "a long, b long")
     if not (many := dealt.filter("bucket is null")).count():
         return few
     big = common.cut(known.filter("part is null").dropDuplicates(["_id"]))

@@ -20,14 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .nearsets import LOWER, near_sets
 
 #: A value's fingerprints beyond this number are split into blocks, and each pair of blocks is a task's unit of its own.
 BLOCK = 4096
 #: Relative cost of one shuffled row and of one compared pair, for the choice of partitions.
 ROW_COST, PAIR_COST = 1.0, 0.01
 
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
 
 def fingerprint_batch(texts: list[bytes], shingle: int = 4) -> np.ndarray:
     """A fingerprint for each UTF-8 text; a text without words has fingerprint zero."""
@@ -50,7 +49,7 @@ def fingerprint_batch(texts: list[bytes], shingle: int = 4) -> np.ndarray:
     if len(some):
         bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
         starts = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.uint32)
         out[some] = np.packbits(2 * ones > counts[some][:, None], axis=1).view(">u8").ravel()
     return out
 
@@ -60,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in common.steps(texts, 1 << 21):
+        for a, b in common.steps(texts, 1 << 18):
             yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(fingerprint_batch(texts[a:b], shingle).view(np.int64))], [id_col, "fp"])
 
     kept = docs.select(F.col(id_col).cast("long").alias(id_col), common.utf8(text_col).alias("_text"))
@@ -223,14 +222,20 @@ def spanning(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, similarity: float | None = None) -> DataFrame:
     """(id, fingerprint, component_id) of every row.
 
+    With ``similarity`` the rows link by that Jaccard similarity of their sets of shingles instead, exactly, and there is
+    no fingerprint: of pairs at 0.8 only a few are within 4 bits, and a distance that holds nearly all of them meets
+    most other documents as well, so ``nearsets`` finds those pairs by the shingles themselves.
+
     Texts are lower-cased in A-Z and split at ASCII white space; null counts as empty, and texts without words share
     fingerprint zero.  Rows with equal fingerprints are one class and link; classes link at ``distance`` differing bits
     or fewer; component_id is the smallest id reachable.  Repeated rows return as often as they come in, an empty table
     gives an empty one, and other columns are left out.
     """
+    if similarity is not None:
+        return near_sets(docs, id_col, text_col, shingle, similarity)
     fps = common.cut(fingerprints(docs, id_col, text_col, shingle))
     reps = common.cut(fps.groupBy("fp").agg(F.min(id_col).alias("rep")))
     n, together = bit_statistics(reps)

@@ -124,13 +124,13 @@ def repeated_windows(docs: DataFrame, firsts: DataFrame, id_col: str, text_col:
     buckets = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = docs.select(F.col(id_col).alias("_id"), common.utf8(text_col).alias("_text"))
     asked = common.map_batches(every, _ask(spec, buckets), "bucket int, ids binary, hashes binary, kinds binary")
-    told = common.cut(asked.groupBy("bucket").applyInArrow(_tell(hot_places), "_id long, hashes binary, places long"))
+    told = common.cut(asked.groupBy("bucket").applyInArrow(common.of_group(_tell(hot_places)), "_id long, hashes binary, places long"))
     places = told.agg(F.sum("places")).first()[0] or 0
     hot = _hot(told, max(hot_places, places // HOT_ANCHORS))
     wanted = told.filter("_id is not null").select(F.col("_id").alias(id_col), "hashes").join(firsts, id_col).groupBy(id_col).agg(F.collect_list("hashes").alias("hashes"))
     text = docs.select(id_col, text_col).join(wanted, id_col).select(F.col(id_col).alias("_id"), common.utf8(text_col).alias("_text"), "hashes")
     packed = common.map_batches(text, _pack(spec, hot, buckets), "bucket int, rows binary")
-    found = packed.groupBy("bucket").applyInArrow(_settle(resolve, spec), "_id long, begins binary, ends binary")
+    found = packed.groupBy("bucket").applyInArrow(common.of_group(_settle(resolve, spec)), "_id long, begins binary, ends binary")
     return found.groupBy("_id").agg(F.collect_list("begins").alias("begins"), F.collect_list("ends").alias("ends")).withColumnRenamed("_id", id_col)
 
 
