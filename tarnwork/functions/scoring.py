@@ -112,11 +112,21 @@ def staleness(date: Column, today: Column) -> Column:
     return F.struct(age.alias("age_days"), F.coalesce(age > 180, F.lit(False)).alias("over_180"), F.coalesce(age > 365, F.lit(False)).alias("over_365"))
 
 
-def literature(year: Column, citations: Column, keywords_hit: Column, today_year: int) -> Column:
-    """Keywords with step functions of recency and citations."""
-    recency = chain([(year >= today_year, 3.0), (year >= today_year - 1, 2.0), (year >= today_year - 3, 1.0)], 0.0)
-    cited = chain([(citations >= 100, 3.0), (citations >= 25, 2.0), (citations >= 5, 1.0)], 0.0)
-    return keywords_hit * 1.0 + recency + cited
+#: Points by year and by citations, from the first that holds, and by what a reader can see.
+YEAR_POINTS = ((2026, 5), (2025, 4), (2024, 2), (2022, 1))
+CITATION_POINTS = ((500, 5), (100, 4), (30, 3), (10, 2), (3, 1))
+OLD_YEAR, OLD_POINTS, NO_TEXT, NO_ABSTRACT, SHORT_ABSTRACT, SHORT_CHARS = 2018, -3, -1000, -5, -2, 200
+
+
+def literature(text: Column, weights: dict[str, int], year: Column, citations: Column, tldr: Column, abstract: Column) -> Column:
+    """Weights of the keywords that occur, with steps of recency, citations and abstract; a paper without text is out."""
+    low, tldr, abstract = F.lower(F.coalesce(text, F.lit(""))), F.coalesce(tldr, F.lit("")), F.coalesce(abstract, F.lit(""))
+    year, citations = F.coalesce(year, F.lit(0)), F.coalesce(citations, F.lit(0))
+    keywords = reduce(lambda a, b: a + b, [F.when(F.contains(low, F.lit(k)), F.lit(w)).otherwise(F.lit(0)) for k, w in weights.items()], F.lit(0))
+    recent = chain([*[(year >= y, n) for y, n in YEAR_POINTS], ((year > 0) & (year < OLD_YEAR), OLD_POINTS)], 0)
+    cited = chain([(citations >= c, n) for c, n in CITATION_POINTS], 0)
+    seen = chain([((tldr == "") & (abstract == ""), NO_ABSTRACT), (F.length(F.trim(F.concat(tldr, F.lit(" "), abstract))) < SHORT_CHARS, SHORT_ABSTRACT)], 0)
+    return F.when(low == "", F.lit(NO_TEXT)).otherwise(keywords + recent + cited + seen)
 
 
 def topic_gate(text: Column, domain: list[str], concern: list[str], exclude: list[str], authors: Column, year: Column) -> Column:

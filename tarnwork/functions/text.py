@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Hosts, owners and query parameters with a meaning of their own.
-RESERVED_OWNERS = ("about", "apps", "collections", "explore", "features", "login", "marketplace", "notifications", "orgs", "pricing", "search", "settings", "sponsors", "topics", "trending")
+RESERVED_OWNERS = ("about", "contact", "features", "login", "logout", "marketplace", "notifications", "orgs", "pricing", "search", "settings", "signup", "sponsors", "topics", "trending")
 TRACKING = ("utm_", "ref_", "mc_", "fbclid", "gclid")
 STOP_WORDS = ("a", "an", "the", "of", "for", "and", "or", "in", "on", "to", "with", "by", "from", "at", "is", "are", "as", "via", "using")
 DAY = "yyyy-MM-dd"
@@ -36,7 +36,7 @@ def joined_lines(*parts: Column | str) -> Column:
 
 def joined_nonempty(parts: list[Column | str], sep: str = " ") -> Column:
     """[P02] Trimmed parts that are not empty."""
-    return F.concat_ws(sep, F.filter(F.transform(F.array(*[_c(p) for p in parts]), F.trim), lambda x: x != ""))
+    return F.concat_ws(sep, F.filter(F.transform(F.array(*[_c(p) for p in parts]), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def composed_document(name: Column | str, summary: Column | str, readme: Column | str, readme_chars: int = 12_000, max_chars: int = 25_000) -> Column:
@@ -76,16 +76,23 @@ def repository_key(url: Column | str) -> Column:
 
 
 def canonical_url(url: Column | str) -> Column:
-    """Scheme and host in lower case, default ports, trailing slashes, tracking and blank parameters and the fragment dropped."""
+    """Scheme and host in lower case, default ports, trailing slashes, tracking and blank parameters and the fragment dropped.
+
+    Parameters are decoded and encoded anew, so that one spelling of each is left; an address without a scheme is https.
+    """
     u = F.trim(_c(url))
-    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+    pattern = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
     scheme, host, path, query = (F.regexp_extract(u, pattern, i) for i in range(1, 5))
-    scheme, host = F.lower(scheme), F.lower(host)
+    scheme, host, path = F.coalesce(F.nullif(F.lower(scheme), F.lit("")), F.lit("https")), F.lower(host), F.regexp_replace(path, "/+$", "")
     host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    kept = F.filter(F.split(query, "&"), lambda p: (F.instr(p, "=") > 0) & ~F.rlike(p, F.lit("=$")) & ~reduce(lambda a, b: a | b, [F.startswith(p, F.lit(t)) for t in TRACKING]))
-    q = F.array_join(kept, "&")
-    whole = F.concat(scheme, F.lit("://"), host, F.regexp_replace(path, "/+$", ""), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
-    return F.when(u.rlike(pattern), whole).otherwise(u)
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), F.translate(x, "+", " "))
+    encoded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    pairs = F.transform(F.split(query, "&"), lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("k"), decoded(F.when(F.instr(p, "=") > 0, F.regexp_replace(p, "^[^=]*=", ""))).alias("v")))
+    tracked = lambda p: reduce(lambda a, b: a | b, [F.startswith(F.lower(p["k"]), F.lit(t)) for t in TRACKING])
+    q = F.array_join(F.transform(F.filter(pairs, lambda p: (F.coalesce(p["v"], F.lit("")) != "") & ~tracked(p)), lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&")
+    slashes = F.when((host != "") | F.startswith(path, F.lit("/")), F.lit("://")).otherwise(F.lit(":"))
+    whole = F.concat(scheme, slashes, host, path, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+    return F.when(u != "", whole).otherwise(u)
 
 
 def url_host(url: Column | str) -> Column:

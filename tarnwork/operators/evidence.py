@@ -7,6 +7,7 @@ import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -91,6 +92,43 @@ def mentions(papers: DataFrame, fields: list[str], tools: DataFrame, context: li
     return first_rows(hit.select("paper", "tool", "r.*", "field", "place"), ["paper", "tool"], F.desc("confidence"), F.col("place"), F.col("rule")).drop("place")
 
 
+def passages(docs: DataFrame, id_col: str, text: str, items: DataFrame, item_col: str, phrase: str, block_chars: int = 2_000_000) -> DataFrame:
+    """[J08] (id, item): the texts that hold each item's phrase anywhere, whole, of any length; empty phrases are nowhere.
+
+    The items go to an automaton in blocks of a bounded size, and each text is read once a block.
+    """
+    spark, kinds, out = docs.sparkSession, {f.name: f.dataType.simpleString() for f in [*docs.schema, *items.schema]}, None
+    schema = f"{id_col} {kinds[id_col]}, {item_col} {kinds[item_col]}"
+    kept = docs.filter(F.col(text) != "").select(F.col(id_col).alias(id_col), F.col(text).alias("_text"))
+
+    def block(some: list[tuple]) -> DataFrame:
+        held = spark.sparkContext.broadcast(some)  # block_chars bounds it
+
+        def find(batches):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for item, words in held.value:
+                automaton.add_word(words, [*automaton.get(words, []), item])
+            automaton.make_automaton()
+            for batch in batches:
+                hits = [(i, sorted({x for _, own in automaton.iter(t) for x in own})) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, own in hits for _ in own], batch.schema.field(0).type), pa.array([x for _, own in hits for x in own])] if any(own for _, own in hits) else [batch.column(0).slice(0, 0), pa.array([], pa.int64() if kinds[item_col] in ("bigint", "int") else pa.string())], [id_col, item_col])
+
+        return kept.mapInArrow(find, schema)
+
+    some, held = [], 0
+    for item, words in items.filter(F.col(phrase) != "").select(item_col, phrase).distinct().toLocalIterator():
+        if some and held + len(words) > block_chars:
+            out = block(some) if out is None else out.unionByName(block(some))
+            some, held = [], 0
+        some.append((item, words))
+        held += len(words)
+    if some:
+        out = block(some) if out is None else out.unionByName(block(some))
+    return spark.createDataFrame([], schema) if out is None else out
+
+
 def suggestions(items: DataFrame, rules: DataFrame, known: DataFrame) -> DataFrame:
     """[J27] (id, papers) for items(id, description, cited_in) without papers: rules(ordinal, keyword, paper) whose keyword occurs."""
     lacking = items.filter(F.coalesce(F.size("cited_in"), F.lit(0)) <= 0).withColumn("low", F.lower("description"))
@@ -146,7 +184,7 @@ def top_authors(df: DataFrame, score: str, tie: str, authors: str = "authors", r
 
 def headline(incidents: DataFrame, ranks: tuple[str, ...] = ("confirmed", "plausible", "anecdotal")) -> DataFrame:
     """[O12] (category, id): the incident that stands for each category: best reproducible, then latest, then by id."""
-    rank = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in ranks]), F.col("reproducibility")), F.lit(len(ranks) + 1))
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(r) for r in ranks]), F.col("reproducibility")), F.lit(0)), F.lit(len(ranks) + 1))
     rows = incidents.select(F.explode("exhibited").alias("category"), "id", "incident_date", rank.alias("_r"))
     return first_rows(rows, ["category"], F.col("_r"), F.desc_nulls_last("incident_date"), F.col("id")).select("category", "id")
 

@@ -117,7 +117,7 @@ def greedy_cover(pool: DataFrame, weights: DataFrame, k: int) -> list[dict]:
     One small job a pick; only the winner reaches the driver.  Ties go to the smallest id; it ends at k picks, at full cover
     or when nothing gains.
     """
-    live = pool.join(F.broadcast(weights), "category").select("id", "category", "reliability", "weight").distinct()
+    live = pool.join(F.broadcast(weights), "category").select("id", "category", "reliability", "weight").distinct().persist()
     picks, covered = [], []
     for _ in range(k):
         left = live.filter(~F.col("category").isin(*covered)) if covered else live
@@ -126,4 +126,5 @@ def greedy_cover(pool: DataFrame, weights: DataFrame, k: int) -> list[dict]:
             break
         picks.append({"id": best[0]["id"], "score": best[0]["score"], "new": sorted(best[0]["new"])})
         covered += best[0]["new"]
+    live.unpersist()
     return picks

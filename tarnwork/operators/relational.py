@@ -221,7 +221,7 @@ def work_queue(df: DataFrame, n: int, first: str, second: str, created: str, tie
 
 def bucketed_order(df: DataFrame, bucket: str, order: list[str], *then: Column) -> list[Column]:
     """[O03 O06] Sort keys: named buckets in a given order, then the rest."""
-    return [F.coalesce(F.array_position(F.array(*[F.lit(b) for b in order]), F.col(bucket)), F.lit(len(order) + 1)), *then]
+    return [F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(b) for b in order]), F.col(bucket)), F.lit(0)), F.lit(len(order) + 1)), *then]
 
 
 def accept_in_order(df: DataFrame, order: str, keys: list[str], limit: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as X
+from ..operators import evidence as E
 from ..operators import graph as G
 from ..operators import relational as R
 from ..operators import stats as A
@@ -149,10 +150,10 @@ def exact_dup_keepers(spark, d):
     return R.keepers(docs, "doc_id", F.col("digest")).select("doc_id", "keeper", "copies", "is_keeper")
 
 
-@query("""WITH t AS (SELECT source, md5(source || left(text, 64)) AS h FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id, source, md5(source || left(text, 64)) AS h FROM documents WHERE doc_id % 2 = 1)
+@query("""WITH t AS (SELECT source, md5(source || text) AS h FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id, source, md5(source || text) AS h FROM documents WHERE doc_id % 2 = 1)
     SELECT source, h AS content_hash, min(doc_id) AS doc_id FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.source = b.source AND t.h = b.h) GROUP BY source, h""")
 def identity_hash_insert_if_absent(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", X.content_hash("source", F.left("text", F.lit(64))).alias("content_hash"))
+    docs = table(spark, d, "documents").select("doc_id", "source", X.content_hash("source", "text").alias("content_hash"))
     return R.insert_if_absent(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1"), ["source", "content_hash"], F.col("doc_id"))
 
 
@@ -182,13 +183,10 @@ def consecutive_dup_suppression(spark, d):
     return R.consecutive_new(table(spark, d, "events"), ["event_type"], "ts", "event_id", by=["user_id"]).select("user_id", "event_id", "event_type")
 
 
-@query("SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, left(b.text, 40))")
+@query("SELECT doc_id, item_id FROM documents d, benchmark b WHERE b.text <> '' AND contains(d.text, b.text)")
 def text_mention_join(spark, d):
-    """Documents that mention a passage: an inverted index of the passages' first words leads to an equi-join."""
-    word = F.regexp_extract(F.left("text", F.lit(40)), r"^\S+\s+(\S+)\s", 1)
-    items = table(spark, d, "benchmark").select("item_id", F.left("text", F.lit(40)).alias("head"), word.alias("w"))
-    words = table(spark, d, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
-    return words.join(items, "w").filter(F.contains("text", F.col("head"))).select("doc_id", "item_id").distinct()
+    """Documents that hold a whole passage."""
+    return E.passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
 
 
 @query("""SELECT p_partkey, prefix FROM (SELECT p_partkey, x.prefix, row_number() OVER (PARTITION BY p_partkey ORDER BY length(x.prefix) DESC, x.prefix) AS r FROM part, (SELECT DISTINCT left(p_name, 4) AS prefix FROM part WHERE p_partkey % 7 = 0 UNION SELECT DISTINCT left(p_name, 6) FROM part WHERE p_partkey % 11 = 0) x WHERE starts_with(p_name, x.prefix)) WHERE r = 1""")
@@ -412,10 +410,10 @@ def pairwise_jaccard(spark, d):
     return V.jaccard_pairs(e, "l_suppkey", "p_brand")
 
 
-@query("""WITH a AS (SELECT doc_id, list_distinct(string_split(lower(left(text, 60)), ' ')) AS a, list_distinct(string_split(lower(right(text, 60)), ' ')) AS b FROM documents) SELECT avg(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE) AS jaccard FROM a""")
+@query("""WITH a AS (SELECT list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type || ' ' || p_name), ' ')) AS b FROM part) SELECT avg(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE) AS jaccard FROM a""")
 def mean_set_jaccard(spark, d):
     words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
-    return table(spark, d, "documents").agg(A.mean_jaccard(words(F.left("text", F.lit(60))), words(F.right("text", F.lit(60)))).alias("jaccard"))
+    return table(spark, d, "part").agg(A.mean_jaccard(words("p_name"), words(F.concat_ws(" ", "p_type", "p_name"))).alias("jaccard"))
 
 
 RATER_SQL = "SELECT doc_id, CASE quality WHEN 1 THEN 'good' ELSE 'poor' END AS a, CASE WHEN n_chars > 900 THEN 'good' ELSE 'poor' END AS b FROM labels JOIN documents USING (doc_id)"
@@ -532,10 +530,18 @@ def cluster_summary(spark, d):
     return A.cluster_summary(table(spark, d, "events"), "user_id", "event_type", "event_id", "value").drop("members")
 
 
-@query("""SELECT 'customer' AS kind, count(*) AS n, md5(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey)) AS digest FROM customer UNION ALL SELECT 'part', count(*), md5(string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey)) FROM part""")
+MANIFEST_SQL = " UNION ALL ".join(f"SELECT '{n}' AS kind, sum(n)::BIGINT AS n, md5(string_agg(h, ',' ORDER BY part)) AS digest FROM (SELECT {k} // 1000 AS part, count(*) AS n, md5(string_agg(CAST({k} AS VARCHAR), ',' ORDER BY {k})) AS h FROM {n} GROUP BY 1)" for n, k in (("customer", "c_custkey"), ("part", "p_partkey")))
+
+
+@query(MANIFEST_SQL)
 def manifest(spark, d):
-    """Ids by kind, sorted, with their count and digest: one small list a kind, as it is published."""
-    one = lambda n, k: table(spark, d, n).agg(F.lit(n).alias("kind"), F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(k)), lambda x: x.cast("string")), ",").cast("binary")).alias("digest"))
+    """Count and digest of the sorted ids of each kind: a digest of the digests of ranges of ids, so no list holds all ids."""
+    joined = lambda c: F.md5(F.array_join(c, ",").cast("binary"))
+
+    def one(n, k):
+        parts = table(spark, d, n).groupBy(F.floor(F.col(k) / 1000).alias("part")).agg(F.count("*").alias("n"), joined(F.transform(F.array_sort(F.collect_list(k)), lambda x: x.cast("string"))).alias("h"))
+        return parts.agg(F.lit(n).alias("kind"), F.sum("n").alias("n"), joined(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"])).alias("digest"))
+
     return one("customer", "c_custkey").unionByName(one("part", "p_partkey"))
 
 

@@ -38,7 +38,7 @@ def recommend(items: DataFrame, weights: DataFrame, k: int, agents: list[str] =
 def recommend_for(items: DataFrame, categories: list[str], k: int = 3, preference: tuple[str, ...] = ("prevention", "detection", "correction", "recovery")) -> DataFrame:
     """[O04] The k items for each category: by paradigm, mention in the rationale, and stars."""
     rows = pool(items, [], [], None).filter(F.col("category").isin(*categories))
-    order = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in preference]), F.col("paradigm")), F.lit(len(preference) + 1))
+    order = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(p) for p in preference]), F.col("paradigm")), F.lit(0)), F.lit(len(preference) + 1))
     return top_k(rows, ["category"], k, order, F.desc("mentioned"), F.desc("stars"), F.col("id")).select("category", "rank", "id")
 
 

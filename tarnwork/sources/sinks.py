@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +11,23 @@ from ..operators.relational import consecutive_new, drifted
 
 
 def append_log(events: DataFrame, path: str, ts: str = "ts") -> None:
-    """[K06 T03] JSON by day, without rows that repeat the one before in time, tool and mechanism."""
-    fresh = consecutive_new(events.withColumn("date", F.left(ts, F.lit(10))), [ts, "tool_id", "mechanism"], ts, by=["date"])
+    """[K06 T03] JSON by day, without rows that repeat the one before in time, tool and mechanism.
+
+    The row before the first of a batch is the last one of that day's log, so a batch that is sent again from there on does
+    not double it.  Only each day's last row is read into the comparison.
+    """
+    same = [ts, "tool_id", "mechanism"]
+    dated = events.withColumn("date", F.left(ts, F.lit(10)))
+    try:
+        log = events.sparkSession.read.schema(dated.schema).json(path)
+        last = log.select("date", F.struct(*same).alias("r")).groupBy("date").agg(F.max("r").alias("r")).select("date", "r.*")
+    except AnalysisException as e:  # no log yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        last = dated.select("date", *same).limit(0)
+    before = dated.join(last.withColumnsRenamed({c: f"_last_{c}" for c in same}), "date", "left")
+    known = F.col(f"_last_{ts}").isNotNull() & (F.struct(*same) <= F.struct(*[F.col(f"_last_{c}") for c in same]))
+    fresh = consecutive_new(before.filter(~known).select(*dated.columns), same, *same, by=["date"])
     fresh.write.partitionBy("date").mode("append").json(path)
 
 
