@@ -4,6 +4,9 @@ Shingles stand in one fixed order, rare ones first.  Two sets at Jaccard ``least
 first ``n - ceil(least n) + 1`` of each, so documents that meet at no such shingle need no look.  Those that meet pass the
 bounds of size and place, and are then compared whole.  The order comes from a bounded sample; it decides how many
 documents meet, never which pairs are found.
+
+At each shingle every document is first compared with the one of the smallest id there.  Only documents that those
+comparisons leave unconnected are then compared pair by pair, so a group of near copies costs about its size.
 """
 
 from __future__ import annotations
@@ -66,31 +69,33 @@ def frequent(docs: DataFrame, n_docs: int, shingle: int) -> tuple[np.ndarray, np
 
 
 def _met(cols: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: Fraction) -> pa.RecordBatch:
-    """(a, b) of the documents at one shingle whose sizes and places leave ``least`` possible; cols from 3: id, size, place."""
+    """(a, b) of the documents at one shingle that are not joined yet and whose sizes and places leave ``least`` possible.
+
+    cols from 3: id, component, size, place.
+    """
     out = []
     p, q = least.numerator, least.denominator
     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        ids, size, place = cols[s:e, 3], cols[s:e, 4], cols[s:e, 5]
+        ids, joined, size, place = (cols[s:e, k] for k in (3, 4, 5, 6))
         order = np.argsort(size, kind="stable")
-        ids, size, rest = ids[order], size[order], size[order] - place[order]
+        ids, joined, size, rest = ids[order], joined[order], size[order], size[order] - place[order]
         until = np.searchsorted(p * size, q * size, side="right")  # the first that is too large for each
         for i in range(len(ids) - 1):
             other = slice(i + 1, int(until[i]))
-            near = np.flatnonzero(np.minimum(rest[i], rest[other]) >= least_shared(size[i] + size[other], least))
+            near = np.flatnonzero((joined[other] != joined[i]) & (np.minimum(rest[i], rest[other]) >= least_shared(size[i] + size[other], least)))
             if len(near):
                 j = ids[other][near]
                 out.append(np.stack([np.minimum(ids[i], j), np.maximum(ids[i], j)], axis=1))
     pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def candidates(reps: DataFrame, least: Fraction) -> DataFrame:
-    """(a, b), each once: documents of ``reps(_id, n, prefix)`` that share a shingle of their prefixes.
+def places(reps: DataFrame, least: Fraction) -> DataFrame:
+    """(h, id, n, place, first, star) of each shingle in the prefixes of two documents of ``reps(_id, n, prefix)`` or more.
 
-    Places travel packed by bucket, and only those of a shingle that stands twice go on.
+    ``first`` is the smallest id at the shingle, ``star`` whether sizes and places leave ``least`` possible with it.  Places
+    travel packed by bucket, and only those of a shingle that stands twice go on.
     """
-
     buckets = SPREAD * int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -108,21 +113,38 @@ def candidates(reps: DataFrame, least: Fraction) -> DataFrame:
 
     def again(rows: pa.Table) -> pa.Table:
         h, i, n, p = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("h", np.int64), ("id", np.int64), ("n", np.int32), ("place", np.int32)))
-        order = np.argsort(h, kind="stable")
+        order = np.lexsort((i, h))
         same = h[order][1:] == h[order][:-1]
         keep = order[np.append(same, False) | np.append(False, same)] if len(h) else order
-        return pa.table({"h": h[keep], "id": i[keep], "n": n[keep].astype(np.int64), "place": p[keep].astype(np.int64)})
+        h, i, n, p = h[keep], i[keep], n[keep].astype(np.int64), p[keep].astype(np.int64)
+        new = np.append(True, h[1:] != h[:-1])[: len(h)]
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
+        fits = np.minimum(n - p, n[lead] - p[lead]) >= least_shared(n + n[lead], least)
+        return pa.table({"h": h, "id": i, "n": n, "place": p, "first": i[lead], "star": fits & (i != i[lead])})
 
     packed = common.map_batches(reps.select("_id", "n", "prefix"), spread, "bucket int, h binary, id binary, n binary, place binary")
-    rows = common.cut(packed.groupBy("bucket").applyInArrow(common.of_group(again), "h long, id long, n long, place long"))
-    known = rows.groupBy("h").count().select("h", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(known, "h").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own", "id", "n", "place")
-    dealt = dealt.select("h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "n", "place")
+    return common.cut(packed.groupBy("bucket").applyInArrow(common.of_group(again), "h long, id long, n long, place long, first long, star boolean"))
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """(a, b), each once: every document with the first one at each of its shingles; no more pairs than places."""
+    return rows.filter("star").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def candidates(rows: DataFrame, joined: DataFrame, least: Fraction) -> DataFrame:
+    """(a, b), each once: documents of ``rows`` at one shingle that ``joined(node, component)`` does not connect yet.
+
+    A shingle whose documents are all connected is left out whole, so a group of near copies makes no pairs here.
+    """
+    told = rows.join(joined, rows["id"] == joined["node"], "left").select("h", "id", "n", "place", F.coalesce("component", "id").alias("c"))
+    known = told.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = told.join(known, "h").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own", "id", "c", "n", "place")
+    dealt = dealt.select("h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "c", "n", "place")
     keys = ["h", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 6), np.int64)
+        held = np.zeros((0, 7), np.int64)
         for batch in batches:
             cols = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)])
             if not len(cols):
@@ -137,17 +159,30 @@ def candidates(reps: DataFrame, least: Fraction) -> DataFrame:
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
-def links(texts: DataFrame, pairs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """(a, b): edges that join all ``pairs`` at Jaccard ``least`` or more of ``texts(_id, _text)``.
+def links(every: DataFrame, pairs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """(a, b): edges that join all ``pairs`` at Jaccard ``least`` or more of the documents ``every(_id, _text)``.
 
     Documents that candidate pairs connect come to one task, each text once, and a pair that found edges connect already
-    is not compared.  Where more than ``GROUP`` documents are connected, each pair brings its two texts instead.
+    is not compared.  Where more than ``GROUP`` documents are connected, their pairs are dealt out by b; a text goes
+    once to each task that has a pair of it.
     """
     buckets = SPREAD * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = common.components(pairs)
-    met = common.cut(met.join(met.groupBy("component").count(), "component").select("node", F.when(F.col("count") <= GROUP, F.pmod(F.xxhash64("component"), F.lit(buckets))).alias("bucket")))
-    dealt = common.cut(pairs.join(met, pairs["a"] == met["node"]).select("a", "b", "bucket"))
-    known = texts.join(met, texts["_id"] == met["node"]).select("_id", "_text", F.col("bucket").alias("part"))
+    parts = met.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    met = met.join(parts, "component")
+    task = F.pmod(F.xxhash64("component", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(buckets)).cast("int").alias("task")
+    dealt = common.cut(pairs.join(met, pairs["b"] == met["node"]).select("a", "b", task))
+    asked = common.cut(dealt.select("task", F.explode(F.array("a", "b")).alias("_id")).distinct())
+
+    slot = F.pmod(F.xxhash64("_id"), F.lit(SLOTS))
+    flags = np.zeros(SLOTS, bool)
+    flags[asked.select(slot.alias("s")).distinct().toArrow()["s"].to_numpy()] = True  # SLOTS bounds it
+    flagged = pairs.sparkSession.sparkContext.broadcast(np.packbits(flags))
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The documents whose slot is asked for, so that no other text is shuffled."""
+        at = batch.column(2).to_numpy(zero_copy_only=False)
+        return batch.select(["_id", "_text"]).filter(pa.array((flagged.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
 
     def near(x: np.ndarray, y: np.ndarray) -> bool:
         both = len(np.intersect1d(x, y, assume_unique=True))
@@ -170,16 +205,9 @@ def links(texts: DataFrame, pairs: DataFrame, shingle: int, least: Fraction) ->
                 out.append((a, b))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    def alone(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = [near(shingle_set(x, shingle), shingle_set(y, shingle)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    few = known.filter("part is not null").groupBy("part").cogroup(dealt.filter("bucket is not null").groupBy("bucket")).applyInArrow(common.of_group(together), "a long, b long")
-    if not (many := dealt.filter("bucket is null")).count():
-        return few
-    big = common.cut(known.filter("part is null").dropDuplicates(["_id"]))
-    joined = many.join(big.select(F.col("_id").alias("a"), F.col("_text").alias("x")), "a").join(big.select(F.col("_id").alias("b"), F.col("_text").alias("y")), "b")
-    return few.union(common.map_batches(joined.select("a", "b", "x", "y"), alone, "a long, b long"))
+    texts = common.map_batches(every.select("_id", "_text", slot.alias("slot")), whole, "_id long, _text binary")
+    brought = asked.join(texts, "_id").select("_id", "_text", F.col("task").alias("at"))
+    return brought.groupBy("at").cogroup(dealt.groupBy("task")).applyInArrow(common.of_group(together), "a long, b long")
 
 
 def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -212,20 +240,9 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     keyed = common.cut(common.map_batches(every, work, "_id long, key binary, n long, prefix binary"))
     firsts = common.cut(keyed.groupBy("key").agg(F.min("_id").alias("rep")))
     reps = keyed.join(firsts, (keyed["key"] == firsts["key"]) & (keyed["_id"] == firsts["rep"]), "left_semi")
-    pairs = common.cut(candidates(reps, least))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-
-    slot = F.pmod(F.xxhash64("_id"), F.lit(SLOTS))
-    flags = np.zeros(SLOTS, bool)
-    flags[asked.select(slot.alias("s")).distinct().toArrow()["s"].to_numpy()] = True  # SLOTS bounds it
-    flagged = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
-
-    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """The documents whose slot is asked for, so that no other text is shuffled."""
-        at = batch.column(2).to_numpy(zero_copy_only=False)
-        return batch.select(["_id", "_text"]).filter(pa.array((flagged.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
-
-    texts = common.map_batches(every.select("_id", "_text", slot.alias("slot")), whole, "_id long, _text binary")
-    roots = common.components(links(texts, pairs, shingle, least))
+    rows = places(reps, least)
+    edges = common.cut(links(every, common.cut(stars(rows)), shingle, least))
+    pairs = common.cut(candidates(rows, common.components(edges), least))
+    roots = common.components(edges.union(links(every, pairs, shingle, least)))
     named = firsts.join(roots, firsts["rep"] == roots["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return keyed.join(named, "key").select(F.col("_id").alias(id_col), "component_id")
