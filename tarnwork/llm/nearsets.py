@@ -6,7 +6,8 @@ bounds of size and place, and are then compared whole.  The order comes from a b
 documents meet, never which pairs are found.
 
 At each shingle every document is first compared with the one of the smallest id there.  Only documents that those
-comparisons leave unconnected are then compared pair by pair, so a group of near copies costs about its size.
+comparisons leave unconnected are then compared pair by pair, so a group of near copies costs about its size.  Pairs that
+signatures of 1,024 bits rule out bring no texts.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SAMPLE, FREQUENT = 8_000, 500_000
 BLOCK = 4096
 #: Documents that candidate pairs connect and one task compares.
 GROUP = 2048
+#: Bits of a document's signature.
+BITS = 1024
 #: Slots of ids that tell which texts are needed whole.
 SLOTS = 1 << 24
 
@@ -54,6 +57,23 @@ def least_shared(total: np.ndarray | int, least: Fraction) -> np.ndarray | int:
     return -(-p * total // q)
 
 
+def signature(own: np.ndarray) -> list[int]:
+    """Of each residue of the hashes of a set, whether an odd number is there, as longs: two sets differ in as many
+    shingles at least as their signatures differ in bits."""
+    odd = np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def possible(pairs: DataFrame, reps: DataFrame, least: Fraction) -> DataFrame:
+    """The ``pairs`` that the signatures in ``reps(_id, n, sig)`` leave at Jaccard ``least`` or more; loses no such pair."""
+    p, q = least.numerator, least.numerator + least.denominator
+    left, right = (reps.select(F.col("_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"sig{c}")) for c in "ab")
+    apart = F.aggregate(F.zip_with("siga", "sigb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    total = F.col("na") + F.col("nb")
+    shared = F.expr(f"({p} * (na + nb) + {q - 1}) div {q}")
+    return pairs.join(left, "a").join(right, "b").filter(apart <= total - 2 * shared).select("a", "b")
+
+
 def frequent(docs: DataFrame, n_docs: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, count) of the shingles that several documents of a sample hold, by hash."""
 
@@ -223,7 +243,7 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         often, times = held.value
-        keys, sizes, prefixes = [], [], []
+        keys, sizes, prefixes, signs = [], [], [], []
         for text in batch.column(1).to_pylist():
             own = shingle_set(text, shingle)
             n = len(own)
@@ -234,15 +254,16 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             most = n - -(-least.numerator * n // least.denominator) + 1 if n else 0
             keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
             sizes.append(n)
+            signs.append(signature(own))
             prefixes.append(own[np.argsort(rank, kind="stable")[:most]].tobytes())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())], ["_id", "key", "n", "prefix"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(signs, pa.list_(pa.int64()))], ["_id", "key", "n", "prefix", "sig"])
 
-    keyed = common.cut(common.map_batches(every, work, "_id long, key binary, n long, prefix binary"))
+    keyed = common.cut(common.map_batches(every, work, "_id long, key binary, n long, prefix binary, sig array<long>"))
     firsts = common.cut(keyed.groupBy("key").agg(F.min("_id").alias("rep")))
     reps = keyed.join(firsts, (keyed["key"] == firsts["key"]) & (keyed["_id"] == firsts["rep"]), "left_semi")
     rows = places(reps, least)
-    edges = common.cut(links(every, common.cut(stars(rows)), shingle, least))
-    pairs = common.cut(candidates(rows, common.components(edges), least))
+    edges = common.cut(links(every, common.cut(possible(stars(rows), reps, least)), shingle, least))
+    pairs = common.cut(possible(candidates(rows, common.components(edges), least), reps, least))
     roots = common.components(edges.union(links(every, pairs, shingle, least)))
     named = firsts.join(roots, firsts["rep"] == roots["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return keyed.join(named, "key").select(F.col("_id").alias(id_col), "component_id")
