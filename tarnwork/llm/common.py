@@ -127,17 +127,23 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return cut(told)
 
 
+#: Edges that one partition of a round of ``components`` holds.
+EDGES = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``: component is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edge set stays the same, in a number of rounds that grows with
     the logarithm of the longest chain.  Each round is two grouped minima and two joins, and is checkpointed; only a row
-    count and a checksum reach the driver.
+    count and a checksum reach the driver.  The edges stand in partitions by their number, so a small graph costs no
+    shuffle over all partitions of the session.
     """
     stars = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     state = _state(stars)
     while state[0]:
-        both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        stars = stars.coalesce(-(-state[0] // EDGES))
+        both = stars.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
