@@ -32,7 +32,7 @@ SAMPLE, FREQUENT = 8_000, 500_000
 #: Documents at one shingle beyond this number are split into blocks, and each pair of blocks is a unit of its own.
 BLOCK = 4096
 #: Documents that candidate pairs connect and one task compares.
-GROUP = 2048
+GROUP = 512
 #: Bits of a document's signature.
 BITS = 1024
 #: Slots of ids that tell which texts are needed whole.
