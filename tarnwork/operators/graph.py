@@ -8,6 +8,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import stored
 from ..functions import scoring as S
 
 
@@ -44,16 +45,15 @@ def neighbourhood(edge: DataFrame, focus: DataFrame) -> DataFrame:
 def reach(spark, edge: DataFrame, most: int | None = None) -> DataFrame:
     """[J16] (src, dst, depth): shortest depth of each pair by joins of the frontier, until it is empty or ``most`` deep.
 
-    Each round is materialised, as a plan of any number of rounds would be planned anew in each.
+    Each round is written, as a plan of any number of rounds would be planned anew in each.  The result is the transitive
+    closure; for cycles alone ``strong_components`` needs no more than the nodes.
     """
-    keep = spark.sparkContext.getCheckpointDir() is not None
-    store = lambda df: df.checkpoint() if keep else df.localCheckpoint()
-    known = store(edge.select("src", "dst").distinct().withColumn("depth", F.lit(1)))
+    known = stored(edge.select("src", "dst").distinct().withColumn("depth", F.lit(1)))
     frontier = known
-    step = store(edge.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct())
+    step = stored(edge.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct())
     for d in count(2) if most is None else range(2, most + 1):
         further = frontier.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
-        frontier = store(further.subtract(known.select("src", "dst")).withColumn("depth", F.lit(d)))  # null-safe, so that it ends
+        frontier = stored(further.subtract(known.select("src", "dst")).withColumn("depth", F.lit(d)))  # null-safe, so that it ends
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
@@ -61,10 +61,65 @@ def reach(spark, edge: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def cyclic(spark, edge: DataFrame, most: int | None = None) -> DataFrame:
-    """[J16] (id, length): nodes on a cycle."""
+    """[J16] (id, length): nodes on a cycle and the length of the shortest through each."""
     return reach(spark, edge, most).filter("src = dst").select(F.col("src").alias("id"), F.col("depth").alias("length"))
 
 
+def strong_components(edge: DataFrame) -> DataFrame:
+    """[J16] (id, component, size) of the nodes on a cycle: component is the smallest node of a strongly connected set.
+
+    A set of one counts if its node has an edge to itself.  Null ends are no nodes.
+
+    Rounds of two parts.  Trimming takes away nodes that nothing leads to or that lead nowhere, as long as a pass takes a
+    twentieth of the edges.  Colouring lets every node take the smallest node that reaches it; then the nodes of a colour
+    that reach its own node are a component, all colours at once, and edges between colours belong to no cycle.  Memory and
+    shuffles are a row for each node and edge, never for each pair of nodes; passes grow with the longest shortest path.
+    """
+    ends = edge.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    ends = stored(ends)
+    loops = ends.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component"))
+    live, found = stored(ends.filter("src <> dst")), []
+    n = live.count()
+    while n:
+        while n:
+            inner = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            live, before = stored(inner), n
+            n = live.count()
+            if before - n < before / 20:
+                break
+        if not n:
+            break
+        # the smallest node that reaches each; only nodes that changed pass theirs on
+        colour = stored(live.select(F.col("src").alias("id")).union(live.select("dst")).distinct().withColumn("colour", F.col("id")))
+        fresh = colour
+        while True:
+            told = live.join(fresh, live["src"] == fresh["id"]).groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("new"))
+            fresh = stored(colour.join(told, "id").filter("new < colour").select("id", F.col("new").alias("colour")))
+            if fresh.isEmpty():
+                break
+            colour = stored(colour.join(fresh.withColumnRenamed("colour", "new"), "id", "left").select("id", F.coalesce("new", "colour").alias("colour")))
+        # edges within a colour, walked backwards from its own node
+        cs, cd = colour.toDF("src", "colour"), colour.toDF("dst", "colour2")
+        live = stored(live.join(cs, "src").join(cd, "dst").filter("colour = colour2").select("src", "dst", "colour"))
+        got = stored(colour.filter("id = colour"))
+        front, parts = got, [got]
+        while True:
+            back = live.join(front.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"), "colour").distinct()
+            front = stored(back.join(reduce(DataFrame.union, parts), ["id", "colour"], "left_anti"))
+            if front.isEmpty():
+                break
+            parts.append(front)
+        all_ = stored(reduce(DataFrame.union, parts))
+        found.append(all_.select("id", F.col("colour").alias("component")))
+        ids = all_.select("id")
+        live = stored(live.select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+        n = live.count()
+    every = reduce(DataFrame.union, [*found, loops.join(reduce(DataFrame.union, found), "id", "left_anti") if found else loops])
+    size = every.groupBy("component").agg(F.count("*").alias("size"))
+    single = loops.select("id", F.lit(True).alias("loop"))
+    return every.join(size, "component").join(single, "id", "left").filter("size > 1 OR loop").select("id", "component", "size")
+
+
 def two_hops(first: DataFrame, second: DataFrame) -> DataFrame:
     """[J07] (src, dst) over (src, mid) and (mid, dst)."""
     return first.join(second, "mid").select("src", "dst").distinct()

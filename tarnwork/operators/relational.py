@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import stored
 from ..functions import text as X
 
 
@@ -224,23 +225,32 @@ def bucketed_order(df: DataFrame, bucket: str, order: list[str], *then: Column)
     return [F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(b) for b in order]), F.col(bucket)), F.lit(0)), F.lit(len(order) + 1)), *then]
 
 
-def accept_in_order(df: DataFrame, order: str, keys: list[str], limit: int) -> DataFrame:
-    """[A23] Rows in order, each accepted unless it shares a key with one accepted before, until ``limit``.
+def accept_in_order(df: DataFrame, order: list[str] | str, keys: list[str], limit: int | None = None, descending: bool = False) -> DataFrame:
+    """[A23] The rows that a walk in ``order`` accepts: each unless it shares a key with one accepted before, until ``limit``.
 
-    The fold is exact and sequential, so it is meant for a ranked short list; what is known already goes before by anti-join.
+    Exact, without the walk: a row that comes first at all its keys among those still open is accepted, rows that share a key
+    with it are refused, and the next round looks at what is left.  A round is grouped minima and joins by key; a key that
+    very many rows share is settled in the round in which its first row is.  Null keys are shared with none, a row without
+    keys is always accepted.  Rows equal in ``order`` go by their keys.
     """
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        seen: list[set] = [set() for _ in keys]
-        out = []
-        for r in rows.sort_values(order).itertuples(index=False):
-            own = [getattr(r, k) for k in keys]
-            if len(out) < limit and not any(v is not None and v == v and v in s for v, s in zip(own, seen, strict=True)):
-                out.append(r)
-                for v, s in zip(own, seen, strict=True):
-                    if v is not None and v == v:
-                        s.add(v)
-        return pd.DataFrame(out, columns=rows.columns).drop(columns="_all")
-
-    return df.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(fold, df.schema)
+    by = [order] if isinstance(order, str) else order
+    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()))
+    rank = F.struct(*[(-F.col(c) if descending else F.col(c)).alias(f"o{i}") for i, c in enumerate(by)], *[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(keys)], "_row")
+    named = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"))) for i, c in enumerate(keys)])
+    live = stored(rows.select("_row", rank.alias("rank"), F.explode(F.array_compact(named)).alias("key")))
+    taken = [rows.filter(reduce(Column.__and__, [F.col(c).isNull() for c in keys])).select("_row")]
+    while True:
+        first = live.groupBy("key").agg(F.min("rank").alias("first"))
+        told = stored(live.join(first, "key").select("_row", "key", (F.col("rank") == F.col("first")).alias("leads")))
+        won = stored(told.groupBy("_row").agg(F.min("leads").alias("leads")).filter("leads").select("_row"))
+        if won.isEmpty():
+            break
+        taken.append(won)
+        held = told.join(won, "_row", "left_semi").select("key").distinct()
+        out = told.join(held, "key", "left_semi").select("_row").distinct()
+        live = stored(live.join(out, "_row", "left_anti"))
+    accepted = rows.join(reduce(DataFrame.union, taken), "_row", "left_semi").withColumn("_rank", rank)
+    accepted = accepted.orderBy("_rank").limit(limit) if limit is not None else accepted
+    return accepted.select(df.columns)
+
+

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import scratch  # noqa: F401  (a new folder where all executors can write)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,9 +15,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def instants(df: DataFrame, *columns: str) -> DataFrame:
     """Zoneless timestamps as instants, which event-time operators need; the session's zone is UTC."""
     return df.withColumns({c: F.col(c).cast("timestamp") for c in columns})
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder where all executors can write: below the session's checkpoint folder, or a local one in tests."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
