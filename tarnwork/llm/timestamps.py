@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import stored
+
 #: Blanks stripped from both ends, months, the years that a stamp can name.
 BLANKS = " \t\n\x0b\x0c\r"
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
@@ -110,23 +112,33 @@ def _days(year: Column, month: Column, day: Column) -> Column:
     return F.when(month.between(1, 12) & day.between(1, length), F.unix_date(first) + day - 1)
 
 
-def _said(part: Column) -> Column:
-    """What the parts of a stamp (year, month, day, hour, minute, second, half, offset, shape, epoch) say, as a struct."""
+def _numbers(part: Column) -> Column:
+    """The parts of a stamp (year, month, day, hour, minute, second, half, offset, shape, epoch), numbers as such."""
     year, month, day, hour, minute, second, half, offset, shape, epoch = (part.getItem(i) for i in range(10))
-    y, d, hh, mm = (x.try_cast("int") for x in (year, day, hour, minute))
-    m = F.coalesce(month.try_cast("int"), F.array_position(F.array(*map(F.lit, MONTHS)), month).cast("int"))
-    ss = F.when(second == "", 0).otherwise(second.try_cast("int"))
-    hh = F.when((half == "") & (hh <= 23), hh).when((half != "") & hh.between(1, 12), hh % 12 + F.when(half == "P", 12).otherwise(0))
-    oh, om = offset.substr(2, 2).try_cast("int"), F.right(offset, F.lit(2)).try_cast("int")
+    named = F.array_position(F.array(*map(F.lit, MONTHS)), month).cast("int")
+    ints = {"y": year, "d": day, "hh": hour, "mm": minute, "oh": offset.substr(2, 2), "om": F.right(offset, F.lit(2))}
+    return F.struct(
+        *[x.try_cast("int").alias(c) for c, x in ints.items()],
+        F.coalesce(month.try_cast("int"), named).alias("m"),
+        F.when(second == "", 0).otherwise(second.try_cast("int")).alias("ss"),
+        half.alias("half"), offset.alias("offset"), shape.alias("shape"), (hour == "").alias("bare"),
+        (epoch.try_cast("long") * F.when(F.length(epoch) == 10, MICROS).otherwise(1000)).alias("epoch_us"),
+    )
+
+
+def _said(part: Column) -> Column:
+    """What the numbers of a stamp say, as a struct."""
+    y, m, d, hh, mm, ss, half, offset, oh, om = (part[c] for c in ("y", "m", "d", "hh", "mm", "ss", "half", "offset", "oh", "om"))
+    hour = F.when((half == "") & (hh <= 23), hh).when((half != "") & hh.between(1, 12), hh % 12 + F.when(half == "P", 12).otherwise(0))
     shift = F.when(offset == "Z", 0).when((oh <= 14) & (om <= 59), F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1) * (oh * 3600 + om * 60))
-    time = F.when(hour == "", 0).when((mm <= 59) & (ss <= 59) & ((offset == "") | shift.isNotNull()), hh * 3600 + mm * 60 + ss)
-    days = _days(y, m, d)
+    time = F.when(part["bare"], 0).when((mm <= 59) & (ss <= 59) & ((offset == "") | shift.isNotNull()), hour * 3600 + mm * 60 + ss)
+    slashed = part["shape"] == "slashed"
     return F.struct(
         y.alias("year"),
-        (epoch.try_cast("long") * F.when(F.length(epoch) == 10, MICROS).otherwise(1000)).alias("epoch_us"),
-        F.when(shape == "slashed", _days(y, d, m)).otherwise(days).alias("days_dm"),
-        days.alias("days_md"),
-        (shape == "slashed").alias("slashed"),
+        part["epoch_us"].alias("epoch_us"),
+        _days(y, F.when(slashed, d).otherwise(m), F.when(slashed, m).otherwise(d)).alias("days_dm"),
+        _days(y, m, d).alias("days_md"),
+        slashed.alias("slashed"),
         time.alias("time_s"),
         shift.alias("offset_s"),
     )
@@ -147,7 +159,7 @@ def parse(stamps: DataFrame) -> DataFrame:
     laid = F.when(raw.rlike(epoch), F.regexp_replace(raw, epoch, "|||||||||$1"))
     for name, (pattern, order) in DATES.items():
         laid = laid.when(raw.rlike(pattern + TIME), F.regexp_replace(raw, pattern + TIME, f"{order}|$4|$5|$6|$7|$8|{name}|"))
-    return stamps.select("stamp_id", "source", "zone", F.inline(F.transform(F.array(F.split(laid, r"\|", -1)), _said)))
+    return stamps.select("stamp_id", "source", "zone", F.inline(F.transform(F.transform(F.array(F.split(laid, r"\|", -1)), _numbers), _said)))
 
 
 def normalise(stamps: DataFrame) -> DataFrame:
@@ -157,12 +169,12 @@ def normalise(stamps: DataFrame) -> DataFrame:
     null or not in the time zone database.  Bad stamps do not vote.  Rows without a source are one source together.  Repeated
     rows each vote and each come back.
 
-    Votes are counted by source, combined before the shuffle, and only slashed dates with two readings meet them, a source's
+    Stamps are parsed once, into a written table.  Votes are counted by source, combined before the shuffle, and only slashed dates with two readings meet them, a source's
     rows dealt to ``SALTS`` parts, by a shuffle join.  The interval table is the one broadcast.
     """
     said = parse(stamps)
     dated = F.coalesce("days_dm", "days_md").isNotNull() & F.col("time_s").isNotNull() & (F.col("offset_s").isNotNull() | F.col("zone").isin(zones()))
-    said = said.withColumn("good", F.col("epoch_us").isNotNull() | F.coalesce(dated, F.lit(False)))
+    said = stored(said.withColumn("good", F.col("epoch_us").isNotNull() | F.coalesce(dated, F.lit(False))))
     dm, md = F.count_if(F.col("days_md").isNull()), F.count_if(F.col("days_dm").isNull())
     votes = said.filter("good AND slashed AND (days_dm IS NULL OR days_md IS NULL)").groupBy("source").agg(dm.alias("dm"), md.alias("md"))
     won = votes.select("source", F.when(F.col("dm") > MAJORITY * F.col("md"), "dm").when(F.col("md") > MAJORITY * F.col("dm"), "md").alias("winner")).filter("winner IS NOT NULL")
