@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from inspect import signature
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import shared_folder, stored
+
 #: Bytes of text that one numpy step works on; arrays of eight bytes a symbol stay within the processor's caches.
 STEP_BYTES = 1 << 19
 
@@ -23,12 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder that all executors share, so that a lost executor costs no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one (a test) gets a temporary folder.
+    The folder is the session's ``spark.checkpoint.dir``; only a session on one machine without one (a test) gets a temporary
+    folder.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint")
-        context.setCheckpointDir(folder)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -99,19 +98,19 @@ def steps(texts: list[bytes], most: int = STEP_BYTES) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
-def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """``docs`` without null ids, and what makes those ids null again.
+def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` without null ids, and what makes those ids null again, in ``id_col`` and in other columns that it is told.
 
     Each row without an id is a document of its own, after all others; such rows follow each other by their contents.
     Only those rows are materialised.
     """
     top, nulls = docs.agg(F.coalesce(F.max(id_col), F.lit(0)), F.count_if(F.col(id_col).isNull())).first()
     if not nulls:
-        return docs, lambda df: df
+        return docs, lambda df, *more: df
     lacking = docs.filter(F.col(id_col).isNull()).orderBy(*[F.xxhash64(F.col(f"`{c}`")) for c in docs.columns if c != id_col])
     named = cut(lacking.withColumn(id_col, F.monotonically_increasing_id() + F.lit(top + 1)))
-    back = F.when(F.col(id_col) <= top, F.col(id_col))
-    return docs.filter(F.col(id_col).isNotNull()).unionByName(named), lambda df: df.withColumn(id_col, back)
+    back = lambda df, *more: df.withColumns({c: F.when(F.col(c) <= top, F.col(c)) for c in (id_col, *more)})
+    return docs.filter(F.col(id_col).isNotNull()).unionByName(named), back
 
 
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -135,11 +134,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``: component is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edge set stays the same, in a number of rounds that grows with
-    the logarithm of the longest chain.  Each round is two grouped minima and two joins, and is checkpointed; only a row
+    the logarithm of the longest chain.  Each round is two grouped minima and two joins, and is a written table; only a row
     count and a checksum reach the driver.  The edges stand in partitions by their number, so a small graph costs no
     shuffle over all partitions of the session.
     """
-    stars = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    stars = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     state = _state(stars)
     while state[0]:
         stars = stars.coalesce(-(-state[0] // EDGES))
@@ -148,7 +147,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        stars = cut(small)
+        stars = stored(small)
         after = _state(stars)
         if after == state:
             break

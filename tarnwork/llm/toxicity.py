@@ -352,7 +352,9 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     label = {r[0]: k for k, n in ((0, FIT_CLEAN), (1, FIT_DOCS)) for r in sample(known.filter(F.col("y") == k), id_col, n).collect()}
     ids = docs.sparkSession.createDataFrame([(i,) for i in label], f"{id_col} long")
     rows = sorted(texts_of(docs, ids, id_col, text_col), key=lambda r: (label[r.id], r.id))
-    return fit([bytes(r.t) for r in rows], [label[r.id] for r in rows]) if {label[r.id] for r in rows} == {0, 1} else None
+    model = fit([bytes(r.t) for r in rows], [label[r.id] for r in rows]) if {label[r.id] for r in rows} == {0, 1} else None
+    common.give_back()
+    return model
 
 
 def scores(model: dict[str, np.ndarray] | None, texts: list[bytes]) -> np.ndarray:
