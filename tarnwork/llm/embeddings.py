@@ -134,8 +134,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     Vectors link if their labels are equal and not null and their cosine is ``cosine`` or more.  Null and zero vectors and
     those with a null or non-finite component link with nothing; so do vectors of different sizes.  Equal vectors are one
     class: each links with all others of its class and of the linked classes.  Rows that repeat an id count as vectors of
-    their own in n_links.  An empty table gives an empty result.
+    their own in n_links.  An empty table gives an empty result.  Ids are longs; a row without one is a vector of its own, after
+    all others, so a component of such rows alone has no id.
     """
+    vectors, unnumbered = common.numbered(vectors.select(id_col, vector_col, label_col), id_col)
     reps = common.cut(classes(vectors, id_col, vector_col, label_col))
     pairs = common.cut(candidates(reps, cosine))
     roots = common.components(pairs)
@@ -144,4 +146,4 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     told = reps.join(linked, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("label").alias("_label"), F.col("v").alias("_v"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     rows = vectors.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).alias("_label"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("_v"))
     out = rows.join(told, ["_label", "_v"], "left").select(id_col, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", id_col).alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return unnumbered(out.withColumn("kept", F.col(id_col) == F.col("component_id")), "component_id")

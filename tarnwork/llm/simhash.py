@@ -232,13 +232,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are lower-cased in A-Z and split at ASCII white space; null counts as empty, and texts without words share
     fingerprint zero.  Rows with equal fingerprints are one class and link; classes link at ``distance`` differing bits
     or fewer; component_id is the smallest id reachable.  Repeated rows return as often as they come in, an empty table
-    gives an empty one, and other columns are left out.
+    gives an empty one, and other columns are left out.  Ids are longs; a row without one is a document of its own, after
+    all others, so a component of such rows alone has no id.
     """
     if similarity is not None:
         return near_sets(docs, id_col, text_col, shingle, similarity)
+    docs, unnumbered = common.numbered(docs.select(id_col, text_col), id_col)
     fps = common.cut(fingerprints(docs, id_col, text_col, shingle))
     reps = common.cut(fps.groupBy("fp").agg(F.min(id_col).alias("rep")))
     n, together = bit_statistics(reps)
     roots = common.components(links(reps, plan(n, together, distance), distance))
     named = reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return unnumbered(out, "component_id")

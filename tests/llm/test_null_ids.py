@@ -4,7 +4,7 @@ import hashlib
 
 import corpus_pipeline
 import pytest
-from tarnwork.llm import decontamination, packing, substrings, suffixes
+from tarnwork.llm import decontamination, embeddings, packing, simhash, substrings, suffixes
 from tarnwork.llm.queries import tokenizer_path
 
 LONG = " ".join(f"word{i}" for i in range(60))
@@ -62,3 +62,15 @@ def test_packing_of_rows_without_id(spark):
     got = packing.pack(docs, tokenizer_path(), capacity=64).collect()
     assert {r.doc_id for r in got} == {1 << 60 | 1, None}
     assert sum(r.length for r in got if r.doc_id is None) == sum(r.length for r in got if r.doc_id) + 1
+
+
+def test_fingerprints_of_rows_without_id(spark):
+    docs = spark.createDataFrame([(5, LONG), (None, LONG), (2, LONG), (None, OWN), (None, OWN)], SCHEMA)
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=repr)
+    assert got == [(2, 2), (5, 2), (None, 2), (None, None), (None, None)]
+
+
+def test_vectors_without_id(spark):
+    rows = [(5, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (None, [0.0, 1.0], 1), (7, None, 1), (None, None, 1), (8, [0.0, 1.0], 2)]
+    got = sorted((tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).select("vec_id", "n_links", "component_id", "kept").collect()), key=repr)
+    assert got == sorted([(5, 2, 2, False), (None, 2, 2, False), (2, 2, 2, True), (None, 0, None, True), (7, 0, 7, True), (None, 0, None, True), (8, 0, 8, True)], key=repr)
