@@ -10,66 +10,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from ..functions import scoring as S
 from ..functions import text as X
 from .relational import first_rows
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """100 times the share of characters in a longest common subsequence."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
-
-
-def token_set_ratio(a: str, b: str) -> float:
-    """The best ratio among the shared tokens and the shared tokens with what either side has besides."""
-    x, y = set(a.lower().split()), set(b.lower().split())
-    if not x or not y:
-        return 0.0
-    both, left, right = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    if both and (not left or not right):
-        return 100.0
-    one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
-    ratios = [indel_ratio(one, two)]
-    if both:
-        ratios += [indel_ratio(both, one), indel_ratio(both, two)]
-    return max(ratios)
-
-
-@pandas_udf(DoubleType())
-def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    squeeze = lambda s: re.sub("[^a-z0-9]", "", s.lower())
-    return pd.Series([max(token_set_ratio(x, y), token_set_ratio(squeeze(x), squeeze(y))) if x and y else 0.0 for x, y in zip(a, b, strict=True)])
-
-
-def grams(name: Column, size: int = 3) -> Column:
-    """Distinct character n-grams of a compacted name; a shorter name is one gram."""
-    c = X.compact(name)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(size))))
-
-
-def fuzzy_names(probe: DataFrame, index: DataFrame, threshold: float = 90.0) -> DataFrame:
-    """[J01 J02] (probe, hit, score): the best of index(id, name, ordinal) for probe(probe, name), the first of equals.
-
-    Names are compared if they share a word or an n-gram, which all names that reach a high threshold do.  The index is a
-    catalog of names, whose size the planner checks before it broadcasts it.
-    """
-    keys = lambda n: F.explode(F.array_distinct(F.concat(F.filter(F.split(F.lower(n), r"\s+"), lambda w: w != ""), grams(n))))
-    right = index.select("id", F.col("name").alias("other"), "ordinal", keys(F.col("name")).alias("k"))
-    pairs = probe.select("probe", "name", keys(F.col("name")).alias("k")).join(right, "k").select("probe", "name", "id", "other", "ordinal").distinct()
-    scored = pairs.withColumn("score", name_ratio("name", "other")).filter(F.col("score") >= threshold)
-    return first_rows(scored, ["probe"], F.desc("score"), F.col("ordinal")).select("probe", F.col("id").alias("hit"), "score")
-
-
 def mentions(papers: DataFrame, fields: list[str], tools: DataFrame, context: list[str]) -> DataFrame:
     """[J08] (paper, tool, rule, confidence, field) of papers(id, fields) and tools(id, name, url, slug).
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import density as D
 from ..operators import graph as G
+from ..operators import names as N
 from ..operators import relational as R
 from ..streaming import memory as M
 from .catalog import query
@@ -78,3 +79,15 @@ def stream_lifecycle(spark, d):
     out = scratch(spark)
     M.run_once(M.lifecycle(rows, "90 minutes", timedelta(days=30), timedelta(days=400)), f"{out}/rows", f"{out}/state")
     return spark.read.schema("id long, status string, refused int, at timestamp").parquet(f"{out}/rows").select("id", "status", "refused", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("since"))
+
+
+@query()
+def fuzzy_client_names(spark, d):
+    """Clients with a master of their own name's kind: for each that has another master, the best fuzzy hit among masters.
+
+    SQL has no token-set ratio; a test compares all pairs.
+    """
+    c = table(spark, d, "clients").filter("client_id IS NOT NULL")
+    index = c.filter("client_id = master_id").select(F.col("client_id").alias("id"), "name", F.col("client_id").alias("ordinal"))
+    probe = c.filter("client_id <> master_id").select(F.col("client_id").alias("probe"), "name").distinct()
+    return N.fuzzy_names(probe, index).select(F.col("probe").alias("client_id"), "hit", F.round("score", 6).alias("score"))

@@ -10,18 +10,6 @@ from tarnwork.operators import evidence as E
 from tarnwork.plans import service
 
 
-def test_token_set_ratio():
-    assert E.token_set_ratio("agent guard", "Guard Agent pro") == 100.0
-    assert E.token_set_ratio("abc", "") == 0.0
-    assert E.token_set_ratio("abcd", "abce") == pytest.approx(75.0)
-
-
-def test_fuzzy_names(spark):
-    index = spark.createDataFrame([("i1", "Agent Guard", 1), ("i2", "agent-guard", 2), ("i3", "Other", 3)], "id string, name string, ordinal int")
-    probe = spark.createDataFrame([(1, "guard agent"), (2, "AgentGuard"), (3, "nothing")], "probe int, name string")
-    assert {(r.probe, r.hit) for r in E.fuzzy_names(probe, index).collect()} == {(1, "i1"), (2, "i1")}
-
-
 def test_mentions(spark):
     papers = spark.createDataFrame([("p1", "We study Semgrep rules.", None), ("p2", "x", "see https://github.com/a/tool and more"), ("p3", "the Act is law", "act as a coding agent: act")], "id string, title string, abstract string")
     tools = spark.createDataFrame([("semgrep", "Semgrep", "https://github.com/s/semgrep", "s/semgrep"), ("tool", "Tool", "https://github.com/a/tool", "a/tool"), ("act", "Act", "https://github.com/n/act", "n/act")], "id string, name string, url string, slug string")
