@@ -254,3 +254,37 @@ def accept_in_order(df: DataFrame, order: list[str] | str, keys: list[str], limi
     return accepted.select(df.columns)
 
 
+def sources_of(df: DataFrame, entity: str, source: str, *carried: str) -> DataFrame:
+    """[A04] (entity, sources, source_count, carried...): the distinct sources that name an entity, in order.
+
+    Pairs are made distinct before they are gathered, so an array is as long as an entity has sources.  Of the carried
+    columns the least value stays.  Null sources do not count; an entity without any has an empty array.
+    """
+    pairs = df.groupBy(entity, source).agg(F.count("*").alias("_n"), *[F.min(c).alias(c) for c in carried])
+    told = pairs.groupBy(entity).agg(F.array_sort(F.collect_list(source)).alias("sources"), *[F.min(c).alias(c) for c in carried])
+    return told.withColumn("source_count", F.size("sources").cast("long"))
+
+
+def by_source_count(df: DataFrame, name: str, n: int, *last: str) -> DataFrame:
+    """[O02] The first ``n`` by number of sources, then by name in lower case (none: as an empty one), then by ``last``, with their rank."""
+    order = [F.desc(F.coalesce("source_count", F.lit(0))), F.lower(F.coalesce(name, F.lit(""))), *last]
+    top = df.orderBy(*order).limit(n)
+    # at most n rows
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+
+
+def match_order(tool: str, paper: str, confidence: str, rule: str) -> list[Column]:
+    """[O09] The order of matches: tool, paper, the more certain first, rule."""
+    return [F.col(tool).asc(), F.col(paper).asc(), F.col(confidence).desc(), F.col(rule).asc()]
+
+
+def universe(frames: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """[U01] (id, in): every id that one of the named (frame, column) has, each once, with the names that have it, in order."""
+    parts = [df.select(F.col(c).cast("string").alias("id"), F.lit(k).alias("k")).filter("id IS NOT NULL").distinct() for k, (df, c) in frames.items()]
+    return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.array_sort(F.collect_list("k")).alias("in"))
+
+
+def common(frames: list[tuple[DataFrame, str]]) -> DataFrame:
+    """[U03] (id): ids that all (frame, column) have, each once."""
+    ids = [df.select(F.col(c).alias("id")).filter("id IS NOT NULL") for df, c in frames]
+    return reduce(lambda a, b: a.join(b, "id", "left_semi"), ids[1:], ids[0].distinct())

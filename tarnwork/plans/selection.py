@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -11,9 +12,11 @@ from ..operators import density as D
 from ..operators import graph as G
 from ..operators import names as N
 from ..operators import relational as R
+from ..operators import sketches as K
+from ..sources import memo, vector_store
 from ..streaming import memory as M
 from .catalog import query
-from .tables import scratch, table
+from .tables import instants, scratch, table
 
 
 @query()
@@ -91,3 +94,71 @@ def fuzzy_client_names(spark, d):
     index = c.filter("client_id = master_id").select(F.col("client_id").alias("id"), "name", F.col("client_id").alias("ordinal"))
     probe = c.filter("client_id <> master_id").select(F.col("client_id").alias("probe"), "name").distinct()
     return N.fuzzy_names(probe, index).select(F.col("probe").alias("client_id"), "hit", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT master_id, coalesce(array_to_string(list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)), ','), '') AS sources, count(DISTINCT source) AS source_count FROM clients GROUP BY master_id""")
+def sources_per_master(spark, d):
+    told = R.sources_of(table(spark, d, "clients"), "master_id", "source")
+    return told.select("master_id", F.array_join("sources", ",").alias("sources"), "source_count")
+
+
+@query("""WITH s AS (SELECT master_id, count(DISTINCT source) AS source_count, min(name) AS name FROM clients GROUP BY master_id)
+    SELECT master_id, source_count, CAST(row_number() OVER (ORDER BY source_count DESC, lower(coalesce(name, '')), master_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 100""")
+def masters_by_source_count(spark, d):
+    """The hundred masters that most sources name: a report of the first ones."""
+    return R.by_source_count(R.sources_of(table(spark, d, "clients"), "master_id", "source", "name"), "name", 100, "master_id").select("master_id", "source_count", "rank")
+
+
+@query("SELECT sale_id, item_id, line_no, discount, flag, CAST(row_number() OVER (PARTITION BY item_id, sale_id ORDER BY discount DESC NULLS LAST, flag NULLS FIRST, line_no NULLS FIRST) AS INTEGER) AS place FROM (SELECT DISTINCT sale_id, item_id, line_no, discount, flag FROM sale_lines)")
+def matches_in_order(spark, d):
+    """Lines of sales as matches of an item and a sale: the first is what a report shows of the two."""
+    lines = table(spark, d, "sale_lines").select("sale_id", "item_id", "line_no", "discount", "flag").distinct()
+    w = Window.partitionBy("item_id", "sale_id").orderBy(*R.match_order("item_id", "sale_id", "discount", "flag")[2:], "line_no")
+    return lines.withColumn("place", F.row_number().over(w))
+
+
+@query("""WITH u AS (SELECT DISTINCT CAST(client_id AS VARCHAR) AS id, 'clients' AS k FROM clients UNION SELECT CAST(client_id AS VARCHAR), 'sales' FROM sales UNION SELECT CAST(client_id AS VARCHAR), 'clicks' FROM clicks UNION SELECT CAST(client_id AS VARCHAR), 'changes' FROM client_changes)
+    SELECT id, string_agg(k, ',' ORDER BY k) AS places FROM u WHERE id IS NOT NULL GROUP BY id""")
+def client_universe(spark, d):
+    found = R.universe({"clients": (table(spark, d, "clients"), "client_id"), "sales": (table(spark, d, "sales"), "client_id"), "clicks": (table(spark, d, "clicks"), "client_id"), "changes": (table(spark, d, "client_changes"), "client_id")})
+    return found.select("id", F.array_join("in", ",").alias("places"))
+
+
+@query("SELECT DISTINCT client_id AS id FROM sales WHERE client_id IN (SELECT client_id FROM clicks) AND client_id IN (SELECT client_id FROM client_changes)")
+def clients_in_common(spark, d):
+    return R.common([(table(spark, d, t), "client_id") for t in ("sales", "clicks", "client_changes")])
+
+
+@query("""WITH c AS (SELECT date_trunc('month', ts) AS m, kind, client_id FROM clicks), n AS (SELECT m, kind, client_id, count(*) AS n FROM c WHERE client_id IS NOT NULL GROUP BY ALL)
+    SELECT CAST(CAST(m AS DATE) AS VARCHAR) AS month, kind, count(*) AS n, count(DISTINCT client_id) AS clients, (SELECT max(n) FROM n WHERE n.m IS NOT DISTINCT FROM c.m AND n.kind IS NOT DISTINCT FROM c.kind) AS most FROM c GROUP BY m, kind""")
+def months_from_daily_sketches(spark, d):
+    """Months of clicks summed up from the sketches of their days alone; exact here, as the sketches hold all clients."""
+    clicks = instants(table(spark, d, "clicks"), "ts")
+    path = scratch(spark)
+    K.daily(clicks, "ts", ["kind"], "value", "client_id", "client_id").write.parquet(path)
+    told = K.told(K.spans(spark.read.parquet(path), "month", ["kind"]), [0.5], 1)
+    return told.select(F.col("month").cast("string").alias("month"), "kind", "n", F.col("distinct").alias("clients"), F.col("top")[0]["count"].alias("most"))
+
+
+@query("""WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS e, vec_id FROM embeddings WHERE embedding IS NOT NULL),
+    s AS (SELECT q.id AS query, v.id, v.label AS type, list_cosine_similarity(q.e, v.e) AS s FROM v q JOIN v ON TRUE WHERE q.vec_id % 100 = 0)
+    SELECT query, id, type, CAST(row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, id) AS INTEGER) AS rank FROM s WHERE NOT isnan(s) QUALIFY rank <= 5""")
+def vector_store_nearest(spark, d):
+    """All embeddings as a store of blocks by label; every hundredth asks for its five nearest."""
+    rows = table(spark, d, "embeddings").filter("embedding IS NOT NULL")
+    path = scratch(spark)
+    kept = rows.select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("type"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("array<string>").alias("cell"), F.col("embedding").alias("vector"))
+    vector_store.save(kept, path)
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return vector_store.nearest(spark, path, asked, 5).select("query", "id", "type", "rank")
+
+
+@query("SELECT sale_id, line_no, l.vendor_id, name AS vendor FROM (SELECT DISTINCT sale_id, line_no, vendor_id FROM sale_lines) l LEFT JOIN (SELECT vendor_id, min(name) AS name FROM vendors GROUP BY vendor_id) USING (vendor_id)")
+def remembered_vendors(spark, d):
+    """Names of the vendors of all lines through a memo: first those of the first lines of sales, then of all."""
+    lines = table(spark, d, "sale_lines").select("sale_id", "line_no", "vendor_id").distinct()
+    path = scratch(spark)
+    vendors = table(spark, d, "vendors").select(F.col("vendor_id").cast("string").alias("key"), F.col("name").alias("value"))
+    fetch = lambda missing: missing.join(vendors, "key")
+    memo.lookup(lines.filter("line_no = 1"), "vendor_id", path, fetch)
+    return memo.lookup(lines, "vendor_id", path, fetch).withColumnRenamed("value", "vendor")
