@@ -241,6 +241,36 @@ def next_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins of item numbers, longest first, each into the fullest bin that has room."""
+    bins: list[list[int]] = []
+    free: list[tuple[int, int]] = []  # (free space, bin), in order
+    size = lengths.tolist()
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        at = bisect_left(free, (size[i], -1))
+        if at < len(free):
+            room, k = free.pop(at)
+        else:
+            room, k = capacity, len(bins)
+            bins.append([])
+        bins[k].append(i)
+        if room > size[i]:
+            insort(free, (room - size[i], k))
+    return bins
+
+
+def packed(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins by the local search, never more than best fit, longest first, takes.
+
+    The search starts from next fit.  Moves and exchanges that each have to gain can end where no single one does; if best
+    fit then has fewer bins, the search starts again from those.
+    """
+    bins = local_search(next_fit(lengths, capacity), lengths, capacity)
+    if len(bins) > max(1, -(-int(lengths.sum()) // capacity)) and len(other := best_fit(lengths, capacity)) < len(bins):
+        bins = local_search(other, lengths, capacity)
+    return bins
+
+
 class Bins:
     """Bins of items, with the free space of the underfull ones in order."""
 
@@ -371,7 +401,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         ids = rows[id_col].combine_chunks().take(pa.array(np.repeat(np.arange(len(rows)), [len(x) for x in rows["starts"].to_pylist()])))
         starts, lengths, crcs = (rows[c].combine_chunks().flatten().to_numpy() for c in ("starts", "lengths", "crcs"))
         part = np.flatnonzero(lengths < capacity)
-        bins = local_search(next_fit(lengths[part], capacity), lengths[part], capacity)
+        bins = packed(lengths[part], capacity)
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         full = np.flatnonzero(lengths == capacity)
         sequence[full] = np.arange(len(full)) + len(bins)

@@ -67,3 +67,13 @@ def test_search_packs_by_moves_and_exchanges(monkeypatch):
             assert len(bins) < best_fit(sizes, 2048)
         elif len(sizes) == 50:
             assert len(bins) == 50
+
+
+def test_never_more_bins_than_best_fit():
+    rng = np.random.default_rng(6)
+    for sizes in (rng.integers(1, 2048, 2000), np.clip(rng.lognormal(5, 1, 2000).astype(int), 1, 2047), rng.integers(600, 1400, 2000), rng.integers(500, 900, 2000), rng.choice([1, 1023, 1024, 1025, 2047], 2000), np.zeros(0, np.int64)):
+        bins = packing.packed(sizes, 2048)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+        assert all(sizes[b].sum() <= 2048 for b in bins)
+        assert len(bins) <= len(packing.best_fit(sizes, 2048))
+        assert len(packing.best_fit(sizes, 2048)) == best_fit(sizes, 2048)
