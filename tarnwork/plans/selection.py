@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import density as D
 from ..operators import graph as G
+from ..operators import layout as L
 from ..operators import names as N
 from ..operators import relational as R
 from ..operators import sketches as K
@@ -162,3 +163,9 @@ def remembered_vendors(spark, d):
     fetch = lambda missing: missing.join(vendors, "key")
     memo.lookup(lines.filter("line_no = 1"), "vendor_id", path, fetch)
     return memo.lookup(lines, "vendor_id", path, fetch).withColumnRenamed("value", "vendor")
+
+
+@query()
+def layout_of_embeddings(spark, d):
+    """All embeddings in two dimensions; steps of a layout have no SQL, a test holds its neighbours against the vectors'."""
+    return L.layout(table(spark, d, "embeddings"), "vec_id", "embedding", steps=25).select(F.col("id").alias("vec_id"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))

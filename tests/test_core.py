@@ -163,13 +163,6 @@ def test_kappa_and_agreement(spark):
     assert sets.agg(A.mean_jaccard(F.col("a"), F.col("b"))).first()[0] == 0.75
 
 
-def test_density_clusters():
-    rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(0, 0.1, (20, 2)), rng.normal(5, 0.1, (20, 2)), [[20, 20]]])
-    labels = V.density_clusters(np.linalg.norm(x[:, None] - x[None], axis=2), 5)
-    assert len(set(labels[:20])) == 1 and len(set(labels[20:40])) == 1 and labels[0] != labels[20]
-
-
 def test_all_pairs_over_blocks(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(50, 8))
