@@ -227,16 +227,28 @@ def display_name(title: Column | str, repo: Column | str) -> Column:
 # --- phrases and scores ------------------------------------------------------------------------------------------------
 
 
-def phrase_pattern(phrase: str) -> str:
-    """A phrase by itself: not inside a word, any case, any white space between its words."""
-    return r"(?iU)(?<!\w)" + r"\s+".join(re.escape(w) for w in phrase.split()) + r"(?!\w)"
+def phrase_pattern(words: list[str]) -> str:
+    """A phrase by itself in a text of one case: not inside a word, any white space between its words."""
+    return r"(?U)(?<!\w)" + r"\s+".join(map(re.escape, words)) + r"(?!\w)"
 
 
 def phrase_hits(text: Column | str, rules: dict[str, list[str]]) -> Column:
-    """[F08 P12] Map of each class that is hit to its phrases, in the rules' order."""
-    text = _c(text)
-    hits = [F.struct(F.lit(c).alias("key"), F.array_compact(F.array(*[F.when(text.rlike(phrase_pattern(p)), F.lit(p)) for p in ps])).alias("value")) for c, ps in rules.items()]
-    return F.map_from_entries(F.filter(F.array(*hits), lambda x: F.size(x["value"]) > 0))
+    """[F08 P12] Map of each class that is hit to its phrases, in the rules' order.
+
+    A text is brought to one case once; a phrase's longest word is searched for as plain bytes first, and only where it
+    stands does the pattern run, which then mostly ends at that place.
+    """
+
+    def hit(low: Column, phrase: str) -> Column:
+        words = phrase.upper().lower().split()
+        return F.when(F.contains(low, F.lit(max(words, key=len, default=""))) & low.rlike(phrase_pattern(words)), F.lit(phrase))
+
+    def found(low: Column) -> Column:
+        hits = [F.struct(F.lit(c).alias("key"), F.array_compact(F.array(*[hit(low, p) for p in ps])).alias("value")) for c, ps in rules.items()]
+        return F.map_from_entries(F.filter(F.array(*hits), lambda x: F.size(x["value"]) > 0))
+
+    # an array of one keeps the text in one case for all phrases; upper and then lower is how a pattern compares any case
+    return F.transform(F.array(F.lower(F.upper(_c(text)))), found)[0]
 
 
 def keyword_score(text: Column | str, weights: dict[str, float], ceiling: float = 10.0) -> Column:
