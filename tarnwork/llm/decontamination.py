@@ -21,6 +21,8 @@ from .superkmers import gram_hashes, mixed
 #: Length of the grams, and of those for items too short for them; edits for each character of an item, characters of the items in one block.
 Q, SHORT_Q, RATE, BLOCK_CHARS = 12, 8, 0.06, 2_000_000
 FILTER_BITS = 22
+#: Hits of a batch of texts that are counted at once; what is held besides grows with bands, not with hits.
+HITS = 1 << 20
 
 
 def plain(text: str | None) -> str:
@@ -63,21 +65,34 @@ class Index:
         inside = at + self.q <= ends[text]
         at, text = at[inside], text[inside]
         lo, hi = np.searchsorted(self.hashes, h[at], side="left"), np.searchsorted(self.hashes, h[at], side="right")
-        count = hi - lo
-        hit = np.repeat(np.arange(len(at)), count)
-        post = np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count) + lo[hit]
-        item = self.item[post]
-        diagonal = at[hit] - (ends - sizes)[text[hit]] - self.place[post]
-        band = diagonal // (edits[item] + 1)
-        key = np.stack([np.tile(text[hit], 2), np.tile(item, 2), np.concatenate([band, band - 1])], axis=1)
-        if not len(key):
-            return none
-        order = np.lexsort(key.T[::-1])
-        key = key[order]
-        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-        shared = np.diff(np.append(new, len(key)))
-        key = key[new][shared >= bound[key[new, 1]]]
-        return key[:, 0], key[:, 1], key[:, 2]
+        count, start = hi - lo, (ends - sizes)[text]
+        # text, item and band as one number
+        offset = int(self.place.max()) + 2
+        span = int(sizes.max()) + 2 * offset + 2
+        keys, shared = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for first, last in chunks(count, HITS):
+            hit = np.repeat(np.arange(first, last), count[first:last])
+            before = np.cumsum(count[first:last]) - count[first:last]
+            post = np.arange(len(hit)) - np.repeat(before, count[first:last]) + lo[hit]
+            item = self.item[post]
+            band = (at[hit] - start[hit] - self.place[post]) // (edits[item] + 1) + offset
+            key = (text[hit] * len(edits) + item) * span + band
+            more, n = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+            keys, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            shared = np.bincount(where, np.concatenate([shared, n]), minlength=len(keys)).astype(np.int64)
+        item = keys // span % len(edits)
+        keep = shared >= bound[item]
+        keys, item = keys[keep], item[keep]
+        return keys // (span * len(edits)), item, keys % span - offset
+
+
+def chunks(count: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of places whose counts add up to ``most`` at the most; a larger count stands alone."""
+    total, first = np.cumsum(count), 0
+    while first < len(count):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + most, side="right")))
+        yield first, last
+        first = last
 
 
 class Items:

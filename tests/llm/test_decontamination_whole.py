@@ -40,3 +40,23 @@ def test_edits_in_items_of_every_length():
     got = {(t, i, e) for t, i, _, e in held.found(texts)}
     want = {(t, i, e) for t, text in enumerate(texts) for i, item in enumerate(items) if (e := least_edits(item, text)) <= int(len(item) * decontamination.RATE)}
     assert got == want
+
+
+def test_hits_of_a_repeated_letter_are_counted_in_parts(monkeypatch):
+    items = decontamination.Items([1, 2], ["a" * 300, "b" * 40 + "c" * 60])
+    texts = ["a" * 3000, "x " + "b" * 40 + "c" * 60, "a" * 299 + "b", ""]
+    whole = [x.tolist() for x in items.bands(texts)]
+    monkeypatch.setattr(decontamination, "HITS", 700)
+    parts = [x.tolist() for x in items.bands(texts)]
+    assert parts == whole
+    assert {(t, i) for t, i in zip(*whole[:2])} >= {(0, 0), (1, 1), (2, 0)}
+    assert {(t, i) for t, i, *_ in items.found(texts)} == {(0, 1), (1, 2), (2, 1)}
+
+
+def test_chunks_cover_all():
+    import numpy as np
+
+    for count in ([], [5], [0, 0], [9, 1, 1, 0, 20, 3]):
+        found = list(decontamination.chunks(np.array(count, int), 10))
+        assert [i for a, b in found for i in range(a, b)] == list(range(len(count)))
+        assert all(sum(count[a:b]) <= 10 or b == a + 1 for a, b in found)
