@@ -318,12 +318,12 @@ def integrity_anti_joins(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
 
 
-EDGE_SQL = "SELECT DISTINCT l_partkey AS src, (l_partkey * 7 + l_suppkey) % (SELECT max(p_partkey) FROM part) AS dst FROM lineitem WHERE l_linenumber = 1"
+EDGE_SQL = "SELECT DISTINCT l_partkey AS src, (l_partkey * 7 + l_suppkey) % (SELECT max(p_partkey) FROM part) AS dst FROM lineitem"
 
 
 def _part_edges(spark, d):
     top = table(spark, d, "part").agg(F.max("p_partkey").alias("m"))
-    return table(spark, d, "lineitem").filter("l_linenumber = 1").crossJoin(F.broadcast(top)).select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % F.col("m")).alias("dst")).distinct()
+    return table(spark, d, "lineitem").crossJoin(F.broadcast(top)).select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % F.col("m")).alias("dst")).distinct()
 
 
 @query(f"WITH e AS ({EDGE_SQL}) SELECT src, dst FROM e WHERE dst IN (SELECT p_partkey FROM part) AND NOT EXISTS (SELECT 1 FROM e b WHERE b.src = e.dst AND b.dst = e.src)")
@@ -331,19 +331,19 @@ def symmetry_check(spark, d):
     return G.asymmetric(_part_edges(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("id"))).select("src", "dst")
 
 
-@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation WHERE n_nationkey % 2 = 0), r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, depth + 1 FROM r JOIN e ON e.src = r.dst WHERE depth < 16)
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation WHERE n_nationkey % 2 = 0), r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, depth + 1 FROM r JOIN e ON e.src = r.dst WHERE depth < 25)
     SELECT src AS id, min(depth) AS length FROM r WHERE src = dst GROUP BY src""")
 def reachability_cycle(spark, d):
     n = table(spark, d, "nation")
     e = n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("dst")).union(n.filter("n_nationkey % 2 = 0").select("n_nationkey", (F.col("n_nationkey") + 5) % 25)).distinct()
-    return G.cyclic(spark, e, 16)  # as deep as the SQL
+    return G.cyclic(spark, e)  # no cycle of 25 nodes needs more than 25 steps, where the SQL ends
 
 
-@query("""WITH e AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem), f AS (SELECT DISTINCT 'o' || o_orderkey AS id FROM orders WHERE o_orderkey % 500 = 1)
+@query("""WITH e AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem), f AS (SELECT DISTINCT 'o' || o_orderkey AS id FROM orders WHERE o_orderkey % 100 = 0)
     SELECT id FROM f UNION SELECT dst FROM e WHERE src IN (SELECT id FROM f) UNION SELECT src FROM e WHERE dst IN (SELECT id FROM f)""")
 def one_hop_neighbourhood(spark, d):
     e = table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
-    return G.neighbourhood(e, table(spark, d, "orders").filter("o_orderkey % 500 = 1").select(F.concat(F.lit("o"), "o_orderkey").alias("id")))
+    return G.neighbourhood(e, table(spark, d, "orders").filter("o_orderkey % 100 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("id")))
 
 
 @query("""SELECT DISTINCT * FROM (SELECT CAST(o_custkey AS VARCHAR) AS src, 'placed' AS etype, CAST(o_orderkey AS VARCHAR) AS dst FROM orders UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'holds', CAST(l_partkey AS VARCHAR) FROM lineitem UNION ALL SELECT CAST(l_partkey AS VARCHAR), 'from', CAST(l_suppkey AS VARCHAR) FROM lineitem)""")
@@ -403,11 +403,11 @@ def hybrid_retrieval(spark, d):
     return V.hybrid(ranked(e, 20), ranked(e.filter("label in (2, 3)"), 28), "vec_id", 20, 8)
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, p_brand AS e FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1), n AS (SELECT a, count(*) AS n FROM e GROUP BY a), i AS (SELECT x.a, y.a AS b, count(*) AS i FROM e x JOIN e y ON x.e = y.e AND x.a < y.a GROUP BY 1, 2)
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS e FROM lineitem), n AS (SELECT a, count(*) AS n FROM e GROUP BY a), i AS (SELECT x.a, y.a AS b, count(*) AS i FROM e x JOIN e y ON x.e = y.e AND x.a < y.a GROUP BY 1, 2)
     SELECT i.a, i.b, i / (n.n + m.n - i)::DOUBLE AS similarity FROM i JOIN n ON n.a = i.a JOIN n m ON m.a = i.b""")
 def pairwise_jaccard(spark, d):
-    e = table(spark, d, "lineitem").filter("l_linenumber = 1").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return V.jaccard_pairs(e, "l_suppkey", "p_brand")
+    """Suppliers by the parts that they delivered, over all lines."""
+    return V.jaccard_pairs(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
 
 
 @query("""WITH a AS (SELECT list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type || ' ' || p_name), ' ')) AS b FROM part) SELECT avg(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE) AS jaccard FROM a""")

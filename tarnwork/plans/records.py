@@ -55,12 +55,12 @@ def canonical_parameters(spark, d):
     return table(spark, d, "part").select("p_partkey", X.canonical_url(F.concat(s("HTTPS://Example.ORG:443/"), F.col("p_size").cast("string"), F.when(kind == 0, "//").otherwise(""), tail)).alias("url"))
 
 
-@query("SELECT p_partkey, '2301.' || lpad(p_partkey::VARCHAR, 5, '0') || ' hep-th/9901001' AS arxiv, '10.1000/x.' || p_partkey AS doi, '2301.' || lpad(p_partkey::VARCHAR, 5, '0') AS bare_arxiv, '10.1000/abc' || p_partkey AS bare_doi, 'arxiv-2301-' || lpad(p_partkey::VARCHAR, 5, '0') AS paper_id FROM part WHERE p_partkey < 100000")
+@query("SELECT p_partkey, '2301.' || lpad((p_partkey % 100000)::VARCHAR, 5, '0') || ' hep-th/9901001' AS arxiv, '10.1000/x.' || p_partkey AS doi, '2301.' || lpad((p_partkey % 100000)::VARCHAR, 5, '0') AS bare_arxiv, '10.1000/abc' || p_partkey AS bare_doi, 'arxiv-2301-' || lpad((p_partkey % 100000)::VARCHAR, 5, '0') AS paper_id FROM part")
 def evidence_ids(spark, d):
-    number = F.lpad(F.col("p_partkey").cast("string"), 5, "0")
+    number = F.lpad((F.col("p_partkey") % 100_000).cast("string"), 5, "0")
     text = F.concat(s("see hep-th/9901001v2 and arXiv:2301."), number, s("v3, also 2301."), number, s(" (doi:10.1000/x."), F.col("p_partkey").cast("string"), s("). Twice: 10.1000/X."), F.col("p_partkey").cast("string"))
     arxiv, doi = F.concat(s("https://arxiv.org/pdf/2301."), number, s("v12.pdf")), F.concat(s("https://doi.org/10.1000/ABC"), F.col("p_partkey").cast("string"))
-    return table(spark, d, "part").filter("p_partkey < 100000").select("p_partkey", F.array_join(X.arxiv_ids(text), " ").alias("arxiv"), F.array_join(X.dois(text), " ").alias("doi"), X.bare_arxiv_id(arxiv).alias("bare_arxiv"), X.bare_doi(doi).alias("bare_doi"), X.proposed_paper_id(arxiv, doi, F.col("p_name")).alias("paper_id"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(X.arxiv_ids(text), " ").alias("arxiv"), F.array_join(X.dois(text), " ").alias("doi"), X.bare_arxiv_id(arxiv).alias("bare_arxiv"), X.bare_doi(doi).alias("bare_doi"), X.proposed_paper_id(arxiv, doi, F.col("p_name")).alias("paper_id"))
 
 
 @query("SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS compact, regexp_replace(lower(trim(p_type || '__x.' || p_brand)), '[-_.]+', '-', 'g') AS package, p_name AS shown, lower(regexp_replace(p_type, '[^A-Za-z0-9]+', '-', 'g')) AS item_id FROM part")
