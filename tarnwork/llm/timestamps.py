@@ -115,33 +115,35 @@ def _days(year: Column, month: Column, day: Column) -> Column:
 def _numbers(part: Column) -> Column:
     """The parts of a stamp (year, month, day, hour, minute, second, half, offset, shape, epoch), numbers as such."""
     year, month, day, hour, minute, second, half, offset, shape, epoch = (part.getItem(i) for i in range(10))
+    # what is empty is not cast at all: a cast that fails costs as much as many that do not
+    number = lambda x, kind="int": F.when(x != "", x.cast(kind))
+    ints = {"y": year, "d": day, "hh": hour, "mm": minute, "oh": offset.substr(2, 2), "om": F.when(offset != "Z", F.right(offset, F.lit(2)))}
     named = F.array_position(F.array(*map(F.lit, MONTHS)), month).cast("int")
-    ints = {"y": year, "d": day, "hh": hour, "mm": minute, "oh": offset.substr(2, 2), "om": F.right(offset, F.lit(2))}
     return F.struct(
-        *[x.try_cast("int").alias(c) for c, x in ints.items()],
-        F.coalesce(month.try_cast("int"), named).alias("m"),
-        F.when(second == "", 0).otherwise(second.try_cast("int")).alias("ss"),
+        *[number(x).alias(c) for c, x in ints.items()],
+        F.when(shape == "named", named).otherwise(number(month)).alias("m"),
+        F.when(second == "", 0).otherwise(number(second)).alias("ss"),
         half.alias("half"), offset.alias("offset"), shape.alias("shape"), (hour == "").alias("bare"),
-        (epoch.try_cast("long") * F.when(F.length(epoch) == 10, MICROS).otherwise(1000)).alias("epoch_us"),
+        (number(epoch, "long") * F.when(F.length(epoch) == 10, MICROS).otherwise(1000)).alias("epoch_us"),
     )
 
 
-def _said(part: Column) -> Column:
-    """What the numbers of a stamp say, as a struct."""
-    y, m, d, hh, mm, ss, half, offset, oh, om = (part[c] for c in ("y", "m", "d", "hh", "mm", "ss", "half", "offset", "oh", "om"))
+def _said() -> list[Column]:
+    """What the columns of ``_numbers`` say of a stamp."""
+    y, m, d, hh, mm, ss, half, offset, oh, om = map(F.col, ("y", "m", "d", "hh", "mm", "ss", "half", "offset", "oh", "om"))
     hour = F.when((half == "") & (hh <= 23), hh).when((half != "") & hh.between(1, 12), hh % 12 + F.when(half == "P", 12).otherwise(0))
     shift = F.when(offset == "Z", 0).when((oh <= 14) & (om <= 59), F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1) * (oh * 3600 + om * 60))
-    time = F.when(part["bare"], 0).when((mm <= 59) & (ss <= 59) & ((offset == "") | shift.isNotNull()), hour * 3600 + mm * 60 + ss)
-    slashed = part["shape"] == "slashed"
-    return F.struct(
+    time = F.when(F.col("bare"), 0).when((mm <= 59) & (ss <= 59) & ((offset == "") | shift.isNotNull()), hour * 3600 + mm * 60 + ss)
+    slashed = F.col("shape") == "slashed"
+    return [
         y.alias("year"),
-        part["epoch_us"].alias("epoch_us"),
+        F.col("epoch_us"),
         _days(y, F.when(slashed, d).otherwise(m), F.when(slashed, m).otherwise(d)).alias("days_dm"),
         _days(y, m, d).alias("days_md"),
         slashed.alias("slashed"),
         time.alias("time_s"),
         shift.alias("offset_s"),
-    )
+    ]
 
 
 def parse(stamps: DataFrame) -> DataFrame:
@@ -151,15 +153,17 @@ def parse(stamps: DataFrame) -> DataFrame:
     be read in two ways.  ``time_s`` is null for an impossible time or offset, ``offset_s`` null where none is given.  All are
     null for a stamp of no known shape.
 
-    One pattern tells a stamp's shape and lays its parts out in one order.  The rest reads these parts once: the inlined
-    array keeps the planner from copying the parsing into each filter above it.
+    One pattern tells a stamp's shape and lays its parts out in one order.  An inlined array of one keeps the planner from
+    copying what stands below it into each place that reads it.
     """
     raw = F.btrim("raw", F.lit(BLANKS))
     epoch = r"^([0-9]{10}|[0-9]{13})\z"
     laid = F.when(raw.rlike(epoch), F.regexp_replace(raw, epoch, "|||||||||$1"))
     for name, (pattern, order) in DATES.items():
         laid = laid.when(raw.rlike(pattern + TIME), F.regexp_replace(raw, pattern + TIME, f"{order}|$4|$5|$6|$7|$8|{name}|"))
-    return stamps.select("stamp_id", "source", "zone", F.inline(F.transform(F.transform(F.array(F.split(laid, r"\|", -1)), _numbers), _said)))
+    keys = ["stamp_id", "source", "zone"]
+    parts = stamps.select(*keys, F.inline(F.array(F.struct(F.split(laid, r"\|", -1).alias("parts")))))
+    return parts.select(*keys, F.inline(F.array(_numbers(F.col("parts"))))).select(*keys, *_said())
 
 
 def normalise(stamps: DataFrame) -> DataFrame:
