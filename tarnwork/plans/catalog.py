@@ -353,13 +353,17 @@ def edge_union_dedup(spark, d):
     return e(o, "o_custkey", "placed", "o_orderkey").unionByName(e(li, "l_orderkey", "holds", "l_partkey")).unionByName(e(li, "l_partkey", "from", "l_suppkey")).distinct()
 
 
-@query()
+@query("""WITH RECURSIVE pool AS (SELECT DISTINCT l_suppkey AS id, p_type AS category FROM lineitem JOIN part ON l_partkey = p_partkey), b AS (SELECT p_type AS category, count(*) / 100.0 AS weight FROM part GROUP BY p_type),
+    w AS (SELECT id, category, weight, 1 + log10(abs(s_acctbal) + 1) AS factor FROM pool JOIN b USING (category) JOIN supplier ON s_suppkey = id),
+    r(pick, id, score, new, covered) AS (SELECT 0, CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(0 AS BIGINT), CAST([] AS VARCHAR[])
+        UNION ALL SELECT * FROM (SELECT pick + 1, w.id, sum(weight) * factor AS gain, count(*), list_concat(any_value(covered), list(category)) FROM r JOIN w ON NOT list_contains(covered, category) WHERE pick < 11 GROUP BY pick, w.id, factor HAVING sum(weight) * factor > 0 ORDER BY gain DESC, w.id LIMIT 1))
+    SELECT pick, id, round(score, 6) AS score, CAST(new AS INTEGER) AS new FROM r WHERE pick > 0""")
 def greedy_set_cover(spark, d):
-    """Suppliers that cover the brands, by weight and reliability; iterative, so no SQL."""
-    pool = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("id"), F.col("p_brand").alias("category")).distinct().join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.log10(F.abs("s_acctbal") + 1).alias("reliability")), "id")
-    brands = table(spark, d, "part").groupBy(F.col("p_brand").alias("category")).agg((F.count("*") / 100.0).alias("weight"))
+    """Suppliers that cover the types of parts, by weight and reliability."""
+    pool = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("id"), F.col("p_type").alias("category")).distinct().join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.log10(F.abs("s_acctbal") + 1).alias("reliability")), "id")
+    brands = table(spark, d, "part").groupBy(F.col("p_type").alias("category")).agg((F.count("*") / 100.0).alias("weight"))
     picks = G.greedy_cover(pool, brands, 11)
-    return spark.createDataFrame([(i + 1, p["id"], p["score"], len(p["new"])) for i, p in enumerate(picks)], "pick int, id long, score double, new int")
+    return spark.createDataFrame([(i + 1, p["id"], round(p["score"], 6), len(p["new"])) for i, p in enumerate(picks)], "pick int, id long, score double, new int")
 
 
 CENTROID_SQL = "SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2"
