@@ -141,13 +141,14 @@ def components(edges: DataFrame) -> DataFrame:
     stars = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     state = _state(stars)
     while state[0]:
-        stars = stars.coalesce(-(-state[0] // EDGES))
+        tasks = -(-state[0] // EDGES)
+        stars = stars.coalesce(tasks)
         both = stars.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        stars = stored(small)
+        stars = stored(small.coalesce(tasks))
         after = _state(stars)
         if after == state:
             break
