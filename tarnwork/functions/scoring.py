@@ -27,6 +27,21 @@ def _size(a: Column | str, most: int) -> Column:
     return F.least(F.greatest(F.coalesce(F.size(X._c(a)), F.lit(0)), F.lit(0)), F.lit(most))
 
 
+def exact_sum(value: Column) -> Column:
+    """The sum of doubles by their decimal digits, ten places; the same in whatever order rows are added.
+
+    A sum of doubles changes in its last digits with the order, which decides what stands exactly at a threshold.  Where a
+    value is not finite or too large for that, the sum of doubles counts.
+    """
+    digits = value.try_cast("decimal(24,10)")
+    return F.when(F.count(digits) == F.count(value), F.sum(digits).cast("double")).otherwise(F.sum(value))
+
+
+def exact_mean(value: Column) -> Column:
+    """The mean over ``exact_sum``."""
+    return exact_sum(value) / F.nullif(F.count(value), F.lit(0))
+
+
 def chain(conditions: list[tuple[Column, object]], otherwise: object = None) -> Column:
     """A decision list: the value of the first condition that holds."""
     out = reduce(lambda acc, c: (F.when(*c) if acc is None else acc.when(*c)), [(c, v if isinstance(v, Column) else F.lit(v)) for c, v in conditions], None)

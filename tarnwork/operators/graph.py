@@ -139,8 +139,8 @@ def unit_scores(cells: DataFrame, weights: DataFrame) -> DataFrame:
     The weighted mean is over all categories that have a weight, also those a unit has no cell for.
     """
     per = cells.groupBy("unit", "category").agg(F.max("tier").alias("best"), F.count_distinct(F.when(F.col("tier") >= 1, F.col("paradigm"))).alias("n")).withColumn("c", S.tier_score(F.col("best"), F.col("n")))
-    total = weights.agg(F.sum("weight").alias("total"))
-    score = per.join(F.broadcast(weights), "category").groupBy("unit").agg(F.sum(F.col("weight") * F.col("c")).alias("s"))
+    total = weights.agg(S.exact_sum(F.col("weight")).alias("total"))
+    score = per.join(F.broadcast(weights), "category").groupBy("unit").agg(S.exact_sum(F.col("weight") * F.col("c")).alias("s"))
     four = cells.groupBy("unit").agg((F.count_distinct(F.when(F.col("tier") >= 1, F.col("paradigm"))) >= 4).alias("balanced"))
     out = four.join(score, "unit", "left").crossJoin(F.broadcast(total)).withColumn("raw", F.coalesce(F.col("s") / F.nullif("total", F.lit(0.0)), F.lit(0.0)))
     return out.select("unit", F.round("raw", 4).alias("score"), S.grade(F.col("raw")).alias("grade"), "balanced")
