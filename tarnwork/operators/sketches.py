@@ -52,3 +52,29 @@ def told(merged: DataFrame, quantiles: list[float], top: int) -> DataFrame:
         "top": F.expr(f"approx_top_k_estimate(items, {top})"),
     }
     return merged.withColumns(found).drop("values", "keys", "items")
+
+
+def counted(df: DataFrame, ts: str, by: list[str], item: str) -> DataFrame:
+    """(day, by..., item, times): how often each item stands in a day's group, nulls left out.
+
+    Beside ``daily``, for groups that outgrow what its sketches hold: it merges as exactly as it grows, row by row.
+    """
+    return df.filter(F.col(item).isNotNull()).groupBy(F.to_date(ts).alias("day"), *by, F.col(item).alias("item")).agg(F.count("*").alias("times"))
+
+
+def exact(told: DataFrame, counts: DataFrame, span: str, by: list[str]) -> DataFrame:
+    """(span start, by..., n, distinct, most) of rows of ``told`` with its first item: exact for groups of any size.
+
+    Below ``ITEMS`` distinct items both sketches still hold every one, and tell the number of them and the most frequent
+    one's count themselves; the groups beyond it are counted from rows of ``counted``.
+    """
+    keys = [span, *by]
+    small = F.col("distinct") < min(ITEMS, 1 << THETA)
+    top = F.when(F.size("top") > 0, F.col("top")[0]["count"])
+    large = told.filter(~small).select(*[F.col(c).alias(f"_{c}") for c in keys])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    rows = counts.withColumn(span, F.to_date(F.date_trunc(span, "day")))
+    rows = rows.join(large, same, "left_semi").groupBy(*keys, "item").agg(F.sum("times").alias("times"))
+    rows = rows.groupBy(*keys).agg(F.count("*").alias("_distinct"), F.max("times").alias("_most")).withColumnsRenamed({c: f"_{c}" for c in keys})
+    met = told.join(rows, same, "left")
+    return met.select(*keys, "n", F.when(small, F.col("distinct")).otherwise(F.col("_distinct")).alias("distinct"), F.when(small, top).otherwise(F.col("_most")).alias("most"))

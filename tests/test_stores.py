@@ -94,3 +94,16 @@ def test_sketches_of_days_merge_within_their_bounds(spark):
         for q, found in zip((0.05, 0.5, 0.95), r["quantiles"] or ()):
             assert abs(np.searchsorted(values, found, "right") / len(values) - q) <= 0.03
     assert got[start.date(), "empty"]["quantiles"] is None
+
+
+def test_groups_beyond_the_sketches_are_counted(spark):
+    """3,000 items in one group are more than a frequent-item sketch tracks, 6,000 more than a distinct sketch holds."""
+    rows = spark.range(6000).select(F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, cast(id % 40 as int))").alias("ts"), F.lit(1.0).alias("v"), F.explode(F.array(F.when(F.col("id") < 20, F.lit("s")).otherwise(F.lit(None)), F.lit("b"))).alias("g"), F.col("id").alias("k"))
+    rows = rows.unionByName(rows.filter("k = 7")).unionByName(rows.limit(1).withColumn("k", F.lit(None).cast("long"))).filter("g IS NOT NULL OR k >= 20 OR k IS NULL")
+    told = sketches.told(sketches.spans(sketches.daily(rows, "ts", ["g"], "v", "k", "k"), "month", ["g"]), [0.5], 1)
+    got = {(str(r.month), r.g): (r.n, r.distinct, r.most) for r in sketches.exact(told, sketches.counted(rows, "ts", ["g"], "k"), "month", ["g"]).collect()}
+    plain = {}
+    for r in rows.collect():
+        plain.setdefault((f"{r.ts:%Y-%m}-01", r.g), []).append(r.k)
+    want = {k: (len(v), len(set(v) - {None}), max(v.count(x) for x in set(v) - {None})) for k, v in plain.items()}
+    assert len(want) == 5 and max(w[1] for w in want.values()) > 4096 and got == want
