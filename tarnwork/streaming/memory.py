@@ -1,7 +1,8 @@
 """Streaming operators with state of their own: duplicate memory without a horizon, and a lifecycle with timers.
 
 Both run on ``transformWithState``, whose state lies in the checkpoint, key by key, so a restarted query knows what earlier
-runs saw however long ago.  A batch hands a key's rows over in no order; they are taken by event time and then by id.
+runs saw however long ago.  Keys are dealt to ``BUCKETS``, as a call costs more than a key's rows.  A batch hands rows over in
+no order; they are taken by event time and then by id.
 """
 
 from __future__ import annotations
@@ -26,65 +27,42 @@ def keep_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
-def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")
+#: Parts that the keys of a memory are dealt to; a checkpoint holds for one number of them.
+BUCKETS = 1024
 
 
 class _First(StatefulProcessor):
-    """The first row of a key is remembered; later ones carry its id."""
-
-    def __init__(self, rule: str):
-        self.rule = rule
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "id long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        df = _ordered(rows)
-        first = self.first.get()[0] if self.first.exists() else None
-        out = []
-        for row in df.to_dict("records"):
-            if first is None:
-                first = int(row["id"])
-                self.first.update((first,))
-            else:
-                row |= {"rule": self.rule, "duplicate_of": first}
-            out.append(row)
-        yield _typed(out, df.columns)
-
-    def close(self) -> None:
-        pass
+    """Of a bucket of keys the first row of each is remembered; later rows carry its id.
 
+    A call for each key would cost more than its rows do, so a call has all rows of a bucket, and the state a map by key.
+    """
 
-class _Names(StatefulProcessor):
-    """Of each compact name the addresses that had it, each with its first id; a row under another address is a duplicate."""
+    def __init__(self, rule: str, by: str):
+        self.rule, self.by = rule, by
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.addresses = handle.getMapState("addresses", "address string", "id long, ordinal long")
+        self.first = handle.getMapState("first", "key string", "id long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        df = _ordered(rows)
-        known = {k[0]: v for k, v in self.addresses.iterator()}
-        out = []
-        for row in df.to_dict("records"):
-            address = row["address"] if isinstance(row["address"], str) else ""
-            if known:
-                row |= {"rule": "name", "duplicate_of": min(known.values(), key=lambda v: v[1])[0]}
-            if address not in known:
-                known[address] = (int(row["id"]), len(known))
-                self.addresses.updateValue((address,), known[address])
-            out.append(row)
-        yield _typed(out, df.columns)
+        df = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable", ignore_index=True)
+        repeated = df.duplicated(self.by)
+        first, known, fresh = {}, set(), not self.first.exists()
+        for value, one in zip(df.loc[~repeated, self.by], df.loc[~repeated, "id"], strict=True):
+            if fresh or (before := self.first.getValue((value,))) is None:
+                first[value] = int(one)
+                self.first.updateValue((value,), (first[value],))
+            else:
+                first[value] = before[0]
+                known.add(value)
+        later = repeated | df[self.by].isin(known)
+        df["rule"] = df["rule"].where(~later, self.rule)
+        df["duplicate_of"] = df[self.by].map(first).astype("Int64").where(later)
+        yield df.astype({"id": "int64"})[[c.split()[0] for c in SEEN.split(", ")]]
 
     def close(self) -> None:
         pass
 
 
-def _typed(rows: list[dict], columns) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=list(columns))
-    return df.astype({"id": "int64", "duplicate_of": "Int64"})
-
-
 SEEN = "id long, ts timestamp, address string, name string, rule string, duplicate_of long"
 
 
@@ -96,45 +74,69 @@ def remembered(rows: DataFrame) -> DataFrame:
     addresses and names and is never dropped.
     """
     rows = rows.select("id", "ts", "address", "name", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("long").alias("duplicate_of"))
-    by_address = rows.filter("address IS NOT NULL").groupBy("address").transformWithStateInPandas(_First("address"), SEEN, "Append", "None")
+    dealt = lambda df, by: df.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(BUCKETS)).cast("int")).groupBy("bucket").transformWithStateInPandas(_First(by, by), SEEN, "Append", "None")
+    by_address = dealt(rows.filter("address IS NOT NULL"), "address")
     every = by_address.unionByName(rows.filter("address IS NULL"))
     named = F.coalesce(F.col("name"), F.lit("")) != ""
-    by_name = every.filter(F.col("rule").isNull() & named).withColumn("key", F.col("name")).groupBy("key").transformWithStateInPandas(_Names(), SEEN, "Append", "None")
+    by_name = dealt(every.filter(F.col("rule").isNull() & named), "name")
     return by_name.unionByName(every.filter(F.col("rule").isNotNull() | ~named))
 
 
 class _Lifecycle(StatefulProcessor):
+    """The candidates of a bucket, in a map by id, with one timer: the earliest time at which one of them may be due."""
+
     def __init__(self, patience: timedelta, keep: timedelta):
-        self.patience, self.keep = patience, keep
+        self.patience, self.keep = (t // timedelta(microseconds=1) for t in (patience, keep))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "status string, refused int, last timestamp")
+        self.state = handle.getMapState("state", "id long", "status string, refused int, last long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        status, refused, last = self.state.get() if self.state.exists() else ("pending", 0, None)
-        df = pd.concat(list(rows)).drop_duplicates(["ts", "seq", "to"]).sort_values(["ts", "seq"], kind="stable")
-        for to in df["to"]:
-            if to in MOVES.get(status, ()):
-                status = to
-            else:
-                refused += 1
-        newest = df["ts"].iloc[-1].to_pydatetime()
-        last = newest if last is None else max(newest, pd.Timestamp(last).tz_localize(None).to_pydatetime())
-        self.state.update((status, refused, last))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        # an open candidate waits for a decision, a closed one is kept for what may still come
-        wait = self.patience if MOVES.get(status) else self.keep
-        self.handle.registerTimer(int((pd.Timestamp(last) + wait).timestamp() * 1000))
-        yield pd.DataFrame({"id": [key[0]], "status": [status], "refused": [refused], "at": [last]})
+        df = pd.concat(list(rows)).drop_duplicates(["id", "us", "seq", "to"]).sort_values(["id", "us", "seq"], kind="stable")
+        fresh = not self.state.exists()
+        now = {}
+        for i, us, to in zip(df["id"].tolist(), df["us"].tolist(), df["to"].tolist(), strict=True):
+            if i not in now:
+                now[i] = (None if fresh else self.state.getValue((i,))) or ("pending", 0, us)
+            status, refused, last = now[i]
+            now[i] = (to, refused, max(last, us)) if to in MOVES.get(status, ()) else (status, refused + 1, max(last, us))
+        for i, value in now.items():
+            self.state.updateValue((i,), value)
+        self._wake(min(self._due(status, last) for status, _, last in now.values()))
+        yield self._told([(i, *value) for i, value in now.items()])
+
+    def _due(self, status: str, last: int) -> int:
+        """In milliseconds: an open candidate waits for a decision, a closed one is kept for what may still come."""
+        return (last + (self.patience if MOVES.get(status) else self.keep)) // 1000
+
+    def _wake(self, due: int) -> None:
+        set_ = list(self.handle.listTimers())
+        if not set_ or due < min(set_):
+            for old in set_:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(due)
+
+    def _told(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["id", "status", "refused", "us"]).astype({"id": "int64", "refused": "int32", "us": "int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, refused, _ = self.state.get()
-        self.state.clear()
-        if MOVES.get(status):
-            at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-            yield pd.DataFrame({"id": [key[0]], "status": ["expired"], "refused": [refused], "at": [at]})
+        mark = timerValues.getCurrentWatermarkInMs()
+        gone, out, next_ = [], [], None
+        for (i,), (status, refused, last) in self.state.iterator():
+            due = self._due(status, last)
+            if due < mark:
+                gone.append(i)
+                if MOVES.get(status):
+                    out.append((i, "expired", refused, last + self.patience))
+            else:
+                next_ = due if next_ is None else min(next_, due)
+        for i in gone:
+            self.state.removeKey((i,))
+        if next_ is not None:
+            self.handle.registerTimer(next_)
+        if out:
+            yield self._told(out)
 
     def close(self) -> None:
         pass
@@ -147,7 +149,9 @@ def lifecycle(changes: DataFrame, delay: str = "1 hour", patience: timedelta = t
     for ``patience`` of event time, expires: it comes out once more as ``expired`` at that time and is forgotten.  One that is
     closed is forgotten after ``keep``.  So state holds what changed within the longer of the two, not all candidates.
     """
-    return changes.withWatermark("ts", delay).groupBy("id").transformWithStateInPandas(_Lifecycle(patience, keep), "id long, status string, refused int, at timestamp", "Append", "EventTime")
+    rows = changes.withWatermark("ts", delay).withColumns({"bucket": F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int"), "us": F.unix_micros("ts")})
+    told = rows.groupBy("bucket").transformWithStateInPandas(_Lifecycle(patience, keep), "id long, status string, refused int, us long", "Append", "EventTime")
+    return told.select("id", "status", "refused", F.timestamp_micros("us").alias("at"))
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str) -> None:

@@ -57,3 +57,34 @@ def one_store(spark):
     yield
     if before:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_a_memory_is_called_by_bucket_not_by_key(spark, tmp_path):
+    """2,000 addresses and names: a call for each took minutes at 100,000."""
+    schema = "id long, ts timestamp, address string, name string"
+    rows = [(i, T0 + DAY * (i % 3), f"a{i % 1500}", f"n{i % 1700}") for i in range(2000)]
+    add(spark, rows, schema, tmp_path / "in")
+    firsts = {}
+    want = {}
+    for rule, k in (("address", 2), ("name", 3)):
+        for r in sorted((r for r in rows if r[0] not in want), key=lambda r: (r[1], r[0])):
+            if firsts.setdefault((rule, r[k]), r[0]) != r[0]:
+                want[r[0]] = (rule, firsts[rule, r[k]])
+    out = run(spark, M.remembered, tmp_path / "in", schema, tmp_path)
+    assert {r["id"]: (r["rule"], r["duplicate_of"]) for r in out.collect()} == {i: want.get(i, (None, None)) for i in range(2000)}
+    flow = M.remembered(M.folder(spark, str(tmp_path / "in"), schema))
+    assert "bucket" in flow._jdf.queryExecution().analyzed().toString()
+    moves = spark.readStream.schema("id long, to string, ts timestamp, seq long").parquet(str(tmp_path / "in"))
+    assert "bucket" in M.lifecycle(moves)._jdf.queryExecution().analyzed().toString()
+
+
+def test_candidates_of_one_bucket_expire_each_in_its_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "BUCKETS", 1)
+    schema = "id long, to string, ts timestamp, seq long"
+    flow = lambda df: M.lifecycle(df, "1 hour", 30 * DAY, 90 * DAY)
+    add(spark, [(i, "reviewed", T0 + i * DAY, 0) for i in range(20)] + [(30, "rejected", T0, 0)], schema, tmp_path / "in")
+    run(spark, flow, tmp_path / "in", schema, tmp_path)
+    for day in (40, 45, 50):
+        add(spark, [(19, "reviewed", T0 + day * DAY, day)], schema, tmp_path / "in")
+        gone = run(spark, flow, tmp_path / "in", schema, tmp_path).filter("status = 'expired'").collect()
+        assert sorted((r["id"], r["at"]) for r in gone) == [(i, T0 + (i + 30) * DAY) for i in range(min(day - 30, 19))]
