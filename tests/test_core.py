@@ -1,5 +1,6 @@
 """Functions, operators, sources and streams on small tables, with values known by hand."""
 
+import re
 import datetime as dt
 import json
 import random
@@ -245,3 +246,25 @@ def test_registry_without_the_subpackage():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_blocks_of_vectors_do_not_multiply_with_the_table(spark):
+    """Each copy of a vector is shuffled: their number is that of the blocks, which stays the same beyond a size."""
+    from tarnwork.operators import density as D
+
+    n = 20_000
+    df = spark.range(n).select("id", F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("v"))
+    points = df.select(F.lit(0).cast("long").alias("part"), F.col("id").alias("node"), "v")
+    for out in (V.all_pairs_top_k(df, "id", "v", 2), D.neighbours(points, 2)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode" in plan and max(int(x) for x in re.findall(r"pmod\(xxhash64\([^)]*\), (\d+)\)", plan)) <= 8
+
+
+def test_ties_within_a_tile_go_by_id(spark, monkeypatch):
+    monkeypatch.setattr(V, "TILE", 64)
+    df = spark.createDataFrame([(i, [1.0, 0.0] if i < 20 else [0.0, 1.0]) for i in range(40)] + [(40, [float("nan"), 1.0])], "id long, v array<double>")
+    got = {}
+    for r in V.all_pairs_top_k(df, "id", "v", 3, block=16).collect():
+        got.setdefault(r.id, []).append((r.rank, r.neighbour))
+    want = lambda i: [x for x in range(0 if i < 20 else 20, 40) if x != i][:3]
+    assert {i: [x for _, x in sorted(v)] for i, v in got.items()} == {i: want(i) for i in range(40)}
