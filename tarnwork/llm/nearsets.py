@@ -230,11 +230,12 @@ def links(every: DataFrame, pairs: DataFrame, shingle: int, least: Fraction) ->
     return brought.groupBy("at").cogroup(dealt.groupBy("task")).applyInArrow(common.of_group(together), "a long, b long")
 
 
-def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, told: DataFrame | None = None) -> DataFrame:
     """(id, component_id) of every row: documents linked by pairs at Jaccard ``least`` or more, exactly.
 
     Texts are lower-cased in A-Z and split at ASCII white space; a text of fewer words than a shingle is one shingle.
-    Null counts as empty, and texts without words are one class.  component_id is the smallest id reachable.  Ids must
+    Null counts as empty, and texts without words are one class.  ``told(a, b)`` are pairs that another method found: they are
+    checked with the first ones.  component_id is the smallest id reachable.  Ids must
     not be null; repeated rows return as often as they come in.
     """
     least = Fraction(str(least))
@@ -262,7 +263,12 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     firsts = common.cut(keyed.groupBy("key").agg(F.min("_id").alias("rep")))
     reps = keyed.join(firsts, (keyed["key"] == firsts["key"]) & (keyed["_id"] == firsts["rep"]), "left_semi")
     rows = places(reps, least)
-    edges = common.cut(links(every, common.cut(possible(stars(rows), reps, least)), shingle, least))
+    first = stars(rows)
+    if told is not None:
+        of = keyed.join(firsts, "key").select("_id", "rep").distinct()
+        ends = told.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").filter("x <> y")
+        first = first.union(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    edges = common.cut(links(every, common.cut(possible(first, reps, least)), shingle, least))
     pairs = common.cut(possible(candidates(rows, common.components(edges), least), reps, least))
     roots = common.components(edges.union(links(every, pairs, shingle, least)))
     named = firsts.join(roots, firsts["rep"] == roots["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))

@@ -222,12 +222,22 @@ def spanning(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def fingerprint_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int) -> DataFrame:
+    """(a, b) of ids: edges that join all rows whose fingerprints are equal or within ``distance`` bits."""
+    fps = common.cut(fingerprints(docs, id_col, text_col, shingle))
+    reps = common.cut(fps.groupBy("fp").agg(F.min(id_col).alias("rep")))
+    n, together = bit_statistics(reps)
+    equal = fps.join(reps, "fp").select(F.col("rep").alias("a"), F.col(id_col).alias("b")).filter("a <> b")
+    return common.cut(equal.union(links(reps, plan(n, together, distance), distance)))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, similarity: float | None = None) -> DataFrame:
     """(id, fingerprint, component_id) of every row.
 
-    With ``similarity`` the rows link by that Jaccard similarity of their sets of shingles instead, exactly, and there is
-    no fingerprint: of pairs at 0.8 only a few are within 4 bits, and a distance that holds nearly all of them meets
-    most other documents as well, so ``nearsets`` finds those pairs by the shingles themselves.
+    With ``similarity`` the rows link by that Jaccard similarity of their sets of shingles instead, exactly, and no
+    fingerprint returns: pairs within ``distance`` bits are found as without it and checked by their sets.  Of pairs at 0.8 only
+    a few are within 4 bits, and a distance that holds nearly all of them meets most other documents as well, so ``nearsets``
+    adds the pairs that fingerprints do not bring together.
 
     Texts are lower-cased in A-Z and split at ASCII white space; null counts as empty, and texts without words share
     fingerprint zero.  Rows with equal fingerprints are one class and link; classes link at ``distance`` differing bits
@@ -236,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all others, so a component of such rows alone has no id.
     """
     if similarity is not None:
-        return near_sets(docs, id_col, text_col, shingle, similarity)
+        return near_sets(docs, id_col, text_col, shingle, similarity, fingerprint_pairs(docs, id_col, text_col, shingle, distance))
     docs, unnumbered = common.numbered(docs.select(id_col, text_col), id_col)
     fps = common.cut(fingerprints(docs, id_col, text_col, shingle))
     reps = common.cut(fps.groupBy("fp").agg(F.min(id_col).alias("rep")))

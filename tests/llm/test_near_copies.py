@@ -76,3 +76,16 @@ def test_signatures_never_exceed_the_difference():
         a, b = (nearsets.signature(np.array(sorted(s), np.uint64)) for s in (x, y))
         assert len(a) == len(b) == 16
         assert sum(((i ^ j) & (1 << 64) - 1).bit_count() for i, j in zip(a, b, strict=True)) <= len(x ^ y)
+
+
+def test_near_copies_of_the_pipeline_come_from_fingerprints_too(spark, monkeypatch):
+    """Without any pair of the shingles' prefixes, copies within four bits are still linked, and checked by their sets."""
+    from tarnwork.llm import nearsets, simhash
+
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(reversed(words))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(nearsets, "stars", lambda rows: rows.sparkSession.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(nearsets, "candidates", lambda rows, joined, least: rows.sparkSession.createDataFrame([], "a long, b long"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
