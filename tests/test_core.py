@@ -1,9 +1,9 @@
 """Functions, operators, sources and streams on small tables, with values known by hand."""
 
-import re
 import datetime as dt
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -17,6 +17,7 @@ from tarnwork.operators import graph as G
 from tarnwork.operators import relational as R
 from tarnwork.operators import stats as A
 from tarnwork.operators import vectors as V
+from tarnwork.plans import catalog
 from tarnwork.sources import connectors, readers, sinks
 from tarnwork.streaming import flows
 
@@ -268,3 +269,21 @@ def test_ties_within_a_tile_go_by_id(spark, monkeypatch):
         got.setdefault(r.id, []).append((r.rank, r.neighbour))
     want = lambda i: [x for x in range(0 if i < 20 else 20, 40) if x != i][:3]
     assert {i: [x for _, x in sorted(v)] for i, v in got.items()} == {i: want(i) for i in range(40)}
+
+
+def test_pairs_of_sets_are_counted_in_blocks_not_shuffled(spark):
+    r = random.Random(3)
+    sets = {f"s{i}": {r.randrange(30) for _ in range(r.randrange(1, 9))} for i in range(60)}
+    df = spark.createDataFrame([(a, e) for a, es in sets.items() for e in es] + [("s0", None), ("s1", None), (None, 3)], "a string, e int")
+    size = {a: len(es) + (a in ("s0", "s1")) for a, es in sets.items()}
+    want = {(a, b): len(sets[a] & sets[b]) / (size[a] + size[b] - len(sets[a] & sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    out = V.jaccard_pairs(df, "a", "e", most=50)
+    assert {(r.a, r.b): r.similarity for r in out.collect()} == want
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_suppliers_are_compared_by_brands(spark, tmp_path):
+    """Two suppliers that share a brand but no part are a pair."""
+    spark.createDataFrame([(1, 10), (2, 20)], "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(10, "b"), (20, "b")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["pairwise_jaccard"](spark, str(tmp_path)).collect()] == [(1, 2, 1.0)]
