@@ -30,10 +30,24 @@ def dangling(refs: DataFrame, ref: str, target: DataFrame, key: str, rule: str)
     return hit.select(F.lit(rule).alias("rule"), F.col("ref").cast("string").alias("ref"))
 
 
+#: Edges that one task of ``asymmetric`` holds.
+EDGES = 250_000
+
+
 def asymmetric(edge: DataFrame, nodes: DataFrame) -> DataFrame:
-    """[J15] Edges a to b, b being a node, without b to a."""
-    back = edge.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return edge.select("src", "dst").distinct().join(nodes.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").join(back, ["src", "dst"], "left_anti")
+    """[J15] Edges a to b, each once, b being a node, without b to a.
+
+    Both directions of a pair of ends meet in one task and are one row there.  Tasks grow in number with the edges, so that
+    none holds more of a larger table, and nothing is grouped before the shuffle, where hardly any edge stands twice.
+    """
+    own = edge.select("src", "dst").filter("dst IS NOT NULL")
+    tasks = max(1, -(-own.count() // EDGES))
+    src, dst = F.col("src"), F.col("dst")
+    ends = own.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"), src.isNull().alias("lone"), (src <= dst).alias("up"), (src >= dst).alias("down"))
+    pairs = ends.repartition(tasks, "a", "b").groupBy("a", "b", "lone").agg(F.bool_or("up").alias("up"), F.bool_or("down").alias("down"))
+    one = pairs.filter("lone OR up <> down").select(F.when(~F.col("lone"), F.when(F.col("up"), F.col("a")).otherwise(F.col("b"))).alias("src"), F.when(F.col("lone") | F.col("up"), F.col("b")).otherwise(F.col("a")).alias("dst"))
+    ids = nodes.select(F.col("id").alias("dst")).repartition(tasks, "dst")
+    return one.repartition(tasks, "dst").join(ids, "dst", "left_semi").select("src", "dst")
 
 
 def neighbourhood(edge: DataFrame, focus: DataFrame) -> DataFrame:
