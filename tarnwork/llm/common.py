@@ -113,6 +113,19 @@ def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, Callable[..., Dat
     return docs.filter(F.col(id_col).isNotNull()).unionByName(named), back
 
 
+def rows_with_own_ids(docs: DataFrame, id_col: str, given: str) -> DataFrame:
+    """``docs`` with an id that no other row has, never null, and the id that a row came with as ``given``.
+
+    Ids that are unique stay.  Where ids repeat, all rows are numbered by id and contents, those without an id last, so that
+    order stays and each row is a document of its own; only then the table is sorted and materialised.
+    """
+    docs = docs.withColumn(given, F.col(id_col))
+    if (docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().agg(F.max("count")).first()[0] or 0) < 2:
+        return numbered(docs, id_col)[0]
+    by = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, given)])
+    return cut(docs.orderBy(F.asc_nulls_last(given), by).withColumn(id_col, F.monotonically_increasing_id()))
+
+
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, copy, carried columns), materialised; copy: whether a smaller id has the very same bytes, by SHA-256.
 

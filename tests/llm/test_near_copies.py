@@ -78,6 +78,17 @@ def test_signatures_never_exceed_the_difference():
         assert sum(((i ^ j) & (1 << 64) - 1).bit_count() for i, j in zip(a, b, strict=True)) <= len(x ^ y)
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    """A near copy goes though its id stands at another text too, and that text stays; of equal rows one stays."""
+    own = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    rows = [(3, own("a")), (5, own("b")), (5, own("a") + " z"), (6, own("c")), (6, own("c")), (7, own("d")), (7, own("e")), (8, own("e") + " q"), (9, own("d") + " q"), (None, own("b")), (None, own("f"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([rows[0], rows[1], rows[3], rows[5], rows[6], rows[10]], key=repr)
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.drop_repeated_strings(spark, docs, "").collect()}
+    assert {rows[0], rows[1], rows[3], rows[5], rows[6], rows[10], (6, ""), (8, " q"), (9, " q")} <= left
+
+
 def test_near_copies_of_the_pipeline_come_from_fingerprints_too(spark, monkeypatch):
     """Without any pair of the shingles' prefixes, copies within four bits are still linked, and checked by their sets."""
     from tarnwork.llm import nearsets, simhash
