@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from inspect import signature
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..durable import shared_folder, stored
 
@@ -126,6 +129,27 @@ def rows_with_own_ids(docs: DataFrame, id_col: str, given: str) -> DataFrame:
     return cut(docs.orderBy(F.asc_nulls_last(given), by).withColumn(id_col, F.monotonically_increasing_id()))
 
 
+#: Slots of ids that tell which rows may be among those that go.
+GONE_SLOTS = 1 << 22
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``gone``; no row travels unless its id shares a slot with one of those."""
+    slot = F.pmod(F.xxhash64(id_col), F.lit(GONE_SLOTS))
+    gone = stored(gone.select(id_col))
+    flags = np.zeros(GONE_SLOTS, bool)
+    flags[gone.select(slot.alias("s")).distinct().toArrow()["s"].to_numpy()] = True  # GONE_SLOTS bounds it
+    held = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
+
+    @pandas_udf("boolean")
+    def asked(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((held.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+
+    told = docs.withColumn("_asked", asked(slot))
+    return told.filter("NOT _asked").drop("_asked").unionByName(told.filter("_asked").drop("_asked").join(gone, id_col, "left_anti"))
+
+
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, copy, carried columns), materialised; copy: whether a smaller id has the very same bytes, by SHA-256.
 

@@ -13,6 +13,7 @@ signatures of 1,024 bits rule out bring no texts.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -22,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import stored
 from . import common
 from .superkmers import SPREAD
 
 #: Bytes with A-Z in lower case.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Documents of the sample, and the most shingles that it tells to be frequent.
-SAMPLE, FREQUENT = 8_000, 500_000
+#: Documents of the sample, or one in ``SHARE`` where those are more, and the most shingles that it tells to be frequent.  A sample
+#: that does not keep up with the table leaves ever more frequent shingles untold, whose pairs grow with the square.
+SAMPLE, SHARE, FREQUENT = 8_000, 16, 1 << 20
 #: Documents at one shingle beyond this number are split into blocks, and each pair of blocks is a unit of its own.
 BLOCK = 4096
 #: Documents that candidate pairs connect and one task compares.
@@ -74,18 +77,44 @@ def possible(pairs: DataFrame, reps: DataFrame, least: Fraction) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(apart <= total - 2 * shared).select("a", "b")
 
 
+def _packed(what: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Hashes by bucket: their order, the upper halves in it, the edges of the buckets and which of these have any.
+
+    The bucket and the upper half stand for a hash; that two hashes share them brings documents together that are then compared.
+    """
+    bucket = (what % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return order, (what[order] >> np.uint64(32)).astype(np.uint32), edges, np.flatnonzero(np.diff(edges)).tolist()
+
+
 def frequent(docs: DataFrame, n_docs: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, count) of the shingles that several documents of a sample hold, by hash."""
+    """(key, count) of the shingles that several documents of a sample hold, by key: bucket and upper half of the hash.
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        what, count = np.unique(np.concatenate([shingle_set(t, shingle) for t in batch.column(0).to_pylist()]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(what.view(np.int64)), pa.array(count)], ["h", "c"])
+    Of more than ``FREQUENT`` those with the higher counts, as far as all of one count fit.
+    """
+    buckets = _buckets(docs)
 
-    some = docs.filter(F.pmod(F.xxhash64("_id"), F.lit(max(1, n_docs // SAMPLE))) == 0).select("_text")
-    counts = common.map_batches(some, work, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
-    what, count = counts["h"].to_numpy().astype(np.int64).view(np.uint64), counts["c"].to_numpy().astype(np.int64)
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, h, edges, some = _packed(np.concatenate([shingle_set(t, shingle) for t in batch.column(0).to_pylist()]), buckets)
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([h[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary())], ["bucket", "h"])
+
+    def count(rows: pa.Table) -> pa.Table:
+        what, times = np.unique(np.frombuffer(b"".join(rows["h"].to_pylist()), np.uint32), return_counts=True)
+        more = times > 1
+        return pa.table({"h": what[more].astype(np.int64) + (rows["bucket"][0].as_py() << 32), "c": times[more].astype(np.int64)})
+
+    some = docs.filter(F.pmod(F.xxhash64("_id"), F.lit(max(1, min(SHARE, n_docs // SAMPLE)))) == 0).select("_text")
+    counts = common.cut(common.map_batches(some, spread, "bucket int, h binary").groupBy("bucket").applyInArrow(common.of_group(count), "h long, c long"))
+    fits, least = 0, None
+    for c, n in sorted(((r["c"], r["count"]) for r in counts.groupBy("c").count().collect()), reverse=True):  # a row for each count
+        if (fits := fits + n) > FREQUENT:
+            break
+        least = c
+    told = counts.filter(F.col("c") >= least if least is not None else F.lit(False)).toArrow()
+    what, times = told["h"].to_numpy(), told["c"].to_numpy()
     order = np.argsort(what)
-    return what[order], count[order]
+    return what[order], times[order]
 
 
 def _met(cols: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: Fraction) -> pa.RecordBatch:
@@ -110,40 +139,49 @@ def _met(cols: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: Fraction
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _buckets(df: DataFrame) -> int:
+    return SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def places(reps: DataFrame, least: Fraction) -> DataFrame:
-    """(h, id, n, place, first, star) of each shingle in the prefixes of two documents of ``reps(_id, n, prefix)`` or more.
+    """(h, id, n, place, first, star, many) of shingles in the prefixes of two documents of ``reps(_id, n, prefix)`` or more.
 
-    ``first`` is the smallest id at the shingle, ``star`` whether sizes and places leave ``least`` possible with it.  Places
-    travel packed by bucket, and only those of a shingle that stands twice go on.
+    ``first`` is the smallest id at the shingle, ``star`` whether sizes and places leave ``least`` possible with it, ``many``
+    whether more than two documents are there; of two nothing but their star is told.  Places travel packed by bucket, ids as
+    differences, and only those of a shingle that stands twice go on.
     """
-    buckets = SPREAD * int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _buckets(reps)
+    small = lambda x: zlib.compress(x.tobytes(), 1)
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
         own = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
         count = np.array([len(x) for x in own], np.int64)
         place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        what = np.concatenate(own)
-        bucket = (what.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        cols = [x[order] for x in (what, np.repeat(ids, count).astype(np.int64), np.repeat(sizes, count).astype(np.int32), place.astype(np.int32))]
-        some = np.flatnonzero(np.diff(edges)).tolist()
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary()) for x in cols]], ["bucket", "h", "id", "n", "place"])
+        order, h, edges, some = _packed(np.concatenate(own).view(np.uint64), buckets)
+        i, n, p = (x[order] for x in (np.repeat(ids, count).astype(np.int64), np.repeat(sizes, count).astype(np.int32), place.astype(np.int32)))
+        parts = [slice(edges[k], edges[k + 1]) for k in some]
+        cols = [[h[x].tobytes() for x in parts], [small(np.diff(i[x], prepend=np.int64(0))) for x in parts], [small(n[x]) for x in parts], [small(p[x]) for x in parts]]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], ["bucket", "h", "id", "n", "place"])
 
     def again(rows: pa.Table) -> pa.Table:
-        h, i, n, p = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("h", np.int64), ("id", np.int64), ("n", np.int32), ("place", np.int32)))
+        h = np.frombuffer(b"".join(rows["h"].to_pylist()), np.uint32)
+        i = np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(x), np.int64)) for x in rows["id"].to_pylist()])
+        n, p = (np.frombuffer(b"".join(map(zlib.decompress, rows[c].to_pylist())), np.int32) for c in ("n", "place"))
         order = np.lexsort((i, h))
         same = h[order][1:] == h[order][:-1]
-        keep = order[np.append(same, False) | np.append(False, same)] if len(h) else order
+        keep = order[np.append(same, False) | np.append(False, same)]
         h, i, n, p = h[keep], i[keep], n[keep].astype(np.int64), p[keep].astype(np.int64)
-        new = np.append(True, h[1:] != h[:-1])[: len(h)]
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-        fits = np.minimum(n - p, n[lead] - p[lead]) >= least_shared(n + n[lead], least)
-        return pa.table({"h": h, "id": i, "n": n, "place": p, "first": i[lead], "star": fits & (i != i[lead])})
+        begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+        size = np.diff(np.append(begin, len(h)))
+        lead, many = np.repeat(begin, size), np.repeat(size, size) > 2
+        star = (np.minimum(n - p, n[lead] - p[lead]) >= least_shared(n + n[lead], least)) & (i != i[lead])
+        some = many | star
+        whole = h.astype(np.int64) + (rows["bucket"][0].as_py() << 32)
+        return pa.table({"h": whole[some], "id": i[some], "n": n[some], "place": p[some], "first": i[lead][some], "star": star[some], "many": many[some]})
 
     packed = common.map_batches(reps.select("_id", "n", "prefix"), spread, "bucket int, h binary, id binary, n binary, place binary")
-    return common.cut(packed.groupBy("bucket").applyInArrow(common.of_group(again), "h long, id long, n long, place long, first long, star boolean"))
+    return common.cut(packed.groupBy("bucket").applyInArrow(common.of_group(again), "h long, id long, n long, place long, first long, star boolean, many boolean"))
 
 
 def stars(rows: DataFrame) -> DataFrame:
@@ -156,6 +194,7 @@ def candidates(rows: DataFrame, joined: DataFrame, least: Fraction) -> DataFrame
 
     A shingle whose documents are all connected is left out whole, so a group of near copies makes no pairs here.
     """
+    rows = rows.filter("many")  # two documents at a shingle are a star
     told = rows.join(joined, rows["id"] == joined["node"], "left").select("h", "id", "n", "place", F.coalesce("component", "id").alias("c"))
     known = told.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     dealt = told.join(known, "h").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -186,13 +225,13 @@ def links(every: DataFrame, pairs: DataFrame, shingle: int, least: Fraction) ->
     is not compared.  Where more than ``GROUP`` documents are connected, their pairs are dealt out by b; a text goes
     once to each task that has a pair of it.
     """
-    buckets = SPREAD * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _buckets(pairs)
     met = common.components(pairs)
     parts = met.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     met = met.join(parts, "component")
     task = F.pmod(F.xxhash64("component", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(buckets)).cast("int").alias("task")
     dealt = common.cut(pairs.join(met, pairs["b"] == met["node"]).select("a", "b", task))
-    asked = common.cut(dealt.select("task", F.explode(F.array("a", "b")).alias("_id")).distinct())
+    asked = stored(dealt.select("task", F.explode(F.array("a", "b")).alias("_id")).distinct())  # few rows of known size bring no texts to them
 
     slot = F.pmod(F.xxhash64("_id"), F.lit(SLOTS))
     flags = np.zeros(SLOTS, bool)
@@ -240,6 +279,7 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     least = Fraction(str(least))
     every = docs.select(F.col(id_col).cast("long").alias("_id"), common.utf8(text_col).alias("_text"))
+    buckets = _buckets(every)
     held = docs.sparkSession.sparkContext.broadcast(frequent(every, every.select("_id").count(), shingle))  # FREQUENT bounds it
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -250,8 +290,9 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             n = len(own)
             rank = np.zeros(n, np.int64)
             if n and len(often):
-                at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-                rank = np.where(often[at] == own, times[at], 0)
+                known = ((own % np.uint64(buckets)) << np.uint64(32) | own >> np.uint64(32)).astype(np.int64)
+                at = np.minimum(np.searchsorted(often, known), len(often) - 1)
+                rank = np.where(often[at] == known, times[at], 0)
             most = n - -(-least.numerator * n // least.denominator) + 1 if n else 0
             keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
             sizes.append(n)

@@ -64,6 +64,24 @@ def test_near_sets_of_many_connected_documents(spark, monkeypatch):
     assert got == dict(enumerate(brute(data)))
 
 
+def test_two_documents_at_a_shingle_leave_no_place_but_a_star(spark):
+    prefix = lambda *h: np.array(h, np.uint64).tobytes()
+    rows = [(1, 10, prefix(5, 7 << 40, 9)), (2, 11, prefix(5, 8)), (3, 90, prefix(7 << 40)), (4, 10, prefix(9)), (-6, 10, prefix(9))]
+    reps = spark.createDataFrame(rows, "_id long, n long, prefix binary")
+    got = {(r.id, r.n, r.place, r.first, r.star, r.many) for r in nearsets.places(reps, nearsets.Fraction("0.8")).collect()}
+    # 1 and 3 meet, but their sizes are too far apart; three documents are at 9
+    assert got == {(2, 11, 0, 1, True, False), (-6, 10, 0, -6, False, True), (1, 10, 2, -6, False, True), (4, 10, 0, -6, True, True)}
+
+
+def test_the_sample_of_shingles_keeps_up_with_the_table(spark, monkeypatch):
+    """A shingle in every twentieth of many documents is told, however few the least sample has."""
+    monkeypatch.setattr(nearsets, "SAMPLE", 4)
+    text = lambda i: " ".join([*(f"w{i}_{j}" for j in range(9)), *(f"often{i % 20}_{j}" for j in range(5))])
+    docs = spark.createDataFrame([(i, text(i).encode()) for i in range(4000)], "_id long, _text binary")
+    keys, times = nearsets.frequent(docs, 4000, 5)
+    assert len(keys) >= 20 and (np.diff(keys) > 0).all() and (times > 1).all()
+
+
 def test_near_sets_of_an_empty_table(spark):
     assert nearsets.near_sets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
